@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import simhash
+from quillon.llm import decontaminate, embeddings, simhash, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -21,6 +21,21 @@ def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return f
 
 
+@_query
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.op1_embedding_near_dedup(_table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.op2_substring_dedup(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op4_simhash(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.op10_decontamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
