@@ -3,7 +3,7 @@
 Vectors are normalised, so that a cosine of c is a distance of sqrt(2 - 2c).  Each of ``tables`` hash tables
 joins ``projections`` quantised Gaussian projections ``floor((a.x + b) / width)`` to one bucket code.  Vectors of
 a bucket are compared by cosine in double precision.  With the defaults a pair at exactly 0.93 is found with
-probability 0.996, at 0.98 with 0.99999; see :func:`recall`.
+probability 0.9998, at 0.98 with 0.9999999; see :func:`recall`.
 
 A pair that shares buckets in several tables counts in the first of them only, so that link counts need no list
 of pairs: a bucket gives each member a number of links and a connecting set of links.  Equal vectors
@@ -30,7 +30,7 @@ from quillon.llm.common import U64, arrow, batches_of, connected_components, in_
 BLOCK = 1024
 
 
-def recall(cosine: float, projections: int = 6, tables: int = 12, width: float = 2.0) -> float:
+def recall(cosine: float, projections: int = 8, tables: int = 16, width: float = 3.0) -> float:
     """Probability that a pair of this cosine shares a bucket in some table."""
     c = math.sqrt(max(2 - 2 * cosine, 1e-12))
     r = width / c
@@ -89,7 +89,7 @@ def _compare(codes: np.ndarray, unit: np.ndarray, table: int, weight: np.ndarray
     return n, links
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, projections: int = 6, tables: int = 12, width: float = 2.0, seed: int = 7, block: int = BLOCK) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, projections: int = 8, tables: int = 16, width: float = 3.0, seed: int = 7, block: int = BLOCK) -> DataFrame:
     """``id_col``, ``n_links`` and ``component_id`` of every row; rows link within equal labels only."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).alias("vec"))
     usable = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & (F.size("vec") > 0) & ~F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("vec", lambda x: x != 0)
