@@ -141,7 +141,6 @@ def arrow(schema: pa.Schema, **columns: object) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, schema.field(k).type) for k, c in columns.items()], schema=schema)
 
 
-_MULT = {0: (0x9E3779B97F4A7C15, 0xF1DE83E19937733D)}
 _POWERS: dict[int, list[np.ndarray]] = {}
 
 
@@ -170,12 +169,26 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, from one running polynomial sum; equal spans hash equally."""
-    up, down = _powers(len(data) + 1, seed)
-    sums = np.zeros(len(data) + 1, U64)
-    np.cumsum((data.astype(U64) + U64(1)) * up[: len(data)], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * down[starts])
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0, piece: int = 1 << 20) -> np.ndarray:
+    """A 64-bit hash of each span of bytes, from running polynomial sums; equal spans hash equally.
+
+    Spans are in order and don't overlap; about ``piece`` bytes are worked on at once.
+    """
+    out, at = np.empty(len(starts), U64), 0
+    while at < len(starts):
+        base = starts[at]
+        stop = max(at + 1, int(np.searchsorted(ends, base + piece, "right")))
+        n = int(ends[stop - 1] - base)
+        up, down = _powers(n + 1, seed)
+        sums = np.zeros(n + 1, U64)
+        sums[1:] = data[base : base + n]
+        sums[1:] += U64(1)
+        sums[1:] *= up[:n]
+        np.cumsum(sums, out=sums)
+        first = starts[at:stop] - base
+        out[at:stop] = (sums[ends[at:stop] - base] - sums[first]) * down[first]
+        at = stop
+    return mixed(out)
 
 
 def span_index(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from quillon.llm.common import NOT_SPACE, U64, arrow, batches_of, mixed, realigned, same_spans, shuffle_partitions, slices, span_hashes, span_index, text_bytes, word_spans
 
 #: Bytes of packed super-k-mers that one bucket should hold, and that a task gathers before it sends blocks.
-BUCKET_BYTES = 24 << 20
-BLOCK_BYTES = 48 << 20
+BUCKET_BYTES = 8 << 20
+BLOCK_BYTES = 32 << 20
 
 
 class HashCollision(Exception):
@@ -132,7 +132,7 @@ def _cut(shard: _Shard, order: np.ndarray, k: int, mer: int, seed: int):
     return at[later], rest[first], np.diff(np.r_[first, len(rest)]), m[first]
 
 
-_PACK = zstandard.ZstdCompressor(level=1)
+_PACK = zstandard.ZstdCompressor(level=3)
 _UNPACK = zstandard.ZstdDecompressor()
 
 
@@ -166,7 +166,7 @@ def _bucket(data: np.ndarray, doc: np.ndarray, tag: np.ndarray, start: np.ndarra
     return doc[which], tag[which], first, stop
 
 
-def covered_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, mer: int = 3, shard_bytes: int = 4 << 20) -> DataFrame:
+def covered_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, mer: int = 3, shard_bytes: int = 2 << 20) -> DataFrame:
     """``doc_id, tag, first, stop``: spans of words that earlier documents hold too; ``tag`` is XXH64 of the text, for ids that repeat."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"))
@@ -249,19 +249,27 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spans = covered_spans(docs, id_col, text_col, window, mer)
     spans = spans.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("first", "stop")).alias("spans"))
     spans = spans.select(realigned(F.col("doc_id")).alias("span_id"), F.col("tag").alias("span_tag"), "spans")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tag"))
-    joined = rows.join(spans, (F.col("doc_id") == F.col("span_id")) & (F.col("tag") == F.col("span_tag")), "left").select("doc_id", "text", "spans")
-    out = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text", 8 << 20):
+            for batch in slices(whole, "text", 4 << 20):
                 data, offsets = text_bytes(batch.column("text"))
                 raw, at = data.tobytes(), offsets.tolist()
+                z = [_PACK.compress(raw[s:e]) for s, e in zip(at, at[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), pa.array(z, pa.binary())], names=["doc_id", "tag", "packed"])
+
+    packed = rows.mapInArrow(pack, "doc_id long, tag long, packed binary")
+    joined = packed.join(spans, (F.col("doc_id") == F.col("span_id")) & (F.col("tag") == F.col("span_tag")), "left").select("doc_id", "packed", "spans")
+    out = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "packed", 2 << 20):
                 spans = batch.column("spans")
                 n, removed, kept = [], [], []
-                for k, (s, e) in enumerate(zip(at, at[1:])):
-                    words = raw[s:e].split()
+                for k, z in enumerate(batch.column("packed")):
+                    words = _UNPACK.decompress(z.as_py()).split()
                     n.append(len(words))
                     if (own := spans[k]).is_valid:
                         own = own.values
