@@ -136,6 +136,14 @@ _PACK = zstandard.ZstdCompressor(level=3)
 _UNPACK = zstandard.ZstdDecompressor()
 
 
+def _squeeze(raw: bytes) -> bytes:
+    return _PACK.compress(raw)
+
+
+def _expand(raw: bytes) -> bytes:
+    return _UNPACK.decompress(raw)
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
     return b"".join(len(raw := _PACK.compress(a.tobytes())).to_bytes(8, "little") + raw for a in arrays)
 
@@ -256,7 +264,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for batch in slices(whole, "text", 4 << 20):
                 data, offsets = text_bytes(batch.column("text"))
                 raw, at = data.tobytes(), offsets.tolist()
-                z = [_PACK.compress(raw[s:e]) for s, e in zip(at, at[1:])]
+                z = [_squeeze(raw[s:e]) for s, e in zip(at, at[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), pa.array(z, pa.binary())], names=["doc_id", "tag", "packed"])
 
     packed = rows.mapInArrow(pack, "doc_id long, tag long, packed binary")
@@ -269,7 +277,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 spans = batch.column("spans")
                 n, removed, kept = [], [], []
                 for k, z in enumerate(batch.column("packed")):
-                    words = _UNPACK.decompress(z.as_py()).split()
+                    words = _expand(z.as_py()).split()
                     n.append(len(words))
                     if (own := spans[k]).is_valid:
                         own = own.values
