@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import bpe, decontaminate, embeddings, simhash, substrings, token_counts
+from quillon.llm import bpe, decontaminate, embeddings, langid, quality, simhash, substrings, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -37,6 +37,16 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op4_simhash(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op5_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.op6_language(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op7_bpe(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
