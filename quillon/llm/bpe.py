@@ -21,6 +21,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -205,7 +206,7 @@ def _mapped(docs: DataFrame, path: str, text_col: str, more: str, columns: Calla
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         for whole in batches:
-            for batch in slices(whole, text_col, 8 << 20):
+            for batch in slices(whole, text_col, 2 << 20):
                 rows = [columns(coder.encode(t.as_py() or "")) for t in batch.column(text_col)]
                 made = [pa.array(list(x), kind) for x, kind in zip(zip(*rows), types)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *names])
@@ -217,7 +218,8 @@ def with_ids(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """``docs`` with ``n_tokens``, ``ids`` and ``decoded``."""
     def columns(entries):
         ids = " ".join([e[0] for e in entries])
-        return len(ids.split()), list(map(int, ids.split())), " ".join([e[1] for e in entries])
+        ids = np.array(ids.split(), np.int32)
+        return len(ids), ids, " ".join([e[1] for e in entries])
 
     return _mapped(docs, path, text_col, "n_tokens long, ids array<int>, decoded string", columns)
 

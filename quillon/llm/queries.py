@@ -7,10 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import bpe, decontaminate, embeddings, langid, quality, simhash, substrings, token_counts
+from quillon.llm import bpe, chat, decontaminate, embeddings, langid, lines, quality, simhash, substrings, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op3_line_dedup": lines.ORACLE, "op9_chat_tools": chat.ORACLE}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,11 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.op2_substring_dedup(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.op3_line_dedup(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op4_simhash(_table(spark, sf_dir, "documents"))
@@ -57,6 +62,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.op8_token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@_query
+def op9_chat_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.op9_chat_tools(_table(spark, sf_dir, "conversations"))
+
+
 @_query
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op10_decontamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
