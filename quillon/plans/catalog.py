@@ -22,3 +22,8 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return add
+
+
+def load() -> None:
+    """Import the plan modules, which register their queries."""
+    from quillon.plans import graph_plans  # noqa: F401
