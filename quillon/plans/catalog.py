@@ -26,4 +26,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import the plan modules, which register their queries."""
-    from quillon.plans import corpus_plans, graph_plans, knowledge_plans  # noqa: F401
+    from quillon.plans import corpus_plans, graph_plans, knowledge_plans, search_plans  # noqa: F401
