@@ -185,9 +185,9 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("score", F.col("rrf") * by)
 
 
-@query(SCORED_SQL + " SELECT query_id::BIGINT AS query_id, id, round(score, 4) AS score FROM m")
+@query(SCORED_SQL + " SELECT query_id::BIGINT AS query_id, id, round(score, 9) AS score FROM m")
 def hybrid_scored(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(spark, d).select("query_id", "id", F.round("score", 4).alias("score"))
+    return _scored(spark, d).select("query_id", "id", F.round("score", 9).alias("score"))
 
 
 QUALITY_SQL = f"""WITH {_vector_sql(40, 5, "v.vec_id <> q.vec_id")}, t AS (SELECT query_id, max(score) AS top, min(score) AS third, max(score) FILTER (WHERE rank = 1) AS second, avg(score) AS average, avg((vec_id % 3 = 0)::INT) AS tests, count(*) AS n FROM near WHERE rank < 3 GROUP BY 1),
