@@ -1,8 +1,8 @@
 """Chat formatting with tool-call linking, in DataFrame operations only.
 
 Results are aggregated by call identifier and hash-joined to the calls.  Calls are ordered topologically: level 0 needs no other
-call, each further level needs one of the level before.  Levels are peeled off in rounds over the dependencies that are still open,
-so that a round's work shrinks and no conversation is gathered in a task; calls on a cycle, or behind one, have no level.
+call, each further level needs one of the level before.  Chains are followed by pointer doubling and branching calls are peeled off in
+rounds, so that no conversation is gathered in a task; calls on a cycle, or behind one, have no level.
 Arguments are checked against the tool's schema.  Messages are canonical JSON: keys in order, no white space, nulls at the top left out.
 
 Defined cases: arguments that are null or no JSON object are an error of the call, and are left out of its message; an unknown tool, a
@@ -13,32 +13,61 @@ no rows.  Calls that share an identifier share its level and results.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import stored
+from quillon.llm.common import forget, stored
+
+
+def _jumped(edges: DataFrame) -> DataFrame:
+    """``(id, to, dist, cyclic)`` of nodes with one dependency: where their chain of such nodes ends, and how far off.
+
+    Pointers double in every round, so that a chain of n calls takes log n rounds.
+    """
+    one = edges.groupBy("id").agg(F.count("*").alias("n"), F.min("dep").alias("to")).where("n = 1")
+    now = stored(one.select("id", "to", F.lit(1).cast("long").alias("dist"), F.lit(True).alias("moved")), "chains")
+    for _ in range(now.count().bit_length() + 2):
+        after = now.select(realigned_text(F.col("id")).alias("next_id"), F.col("to").alias("next_to"), F.col("dist").alias("next_dist"))
+        rows = now.join(after, F.col("to") == F.col("next_id"), "left")
+        moved = F.col("next_id").isNotNull()
+        rows = rows.select("id", F.coalesce("next_to", "to").alias("to"), (F.col("dist") + F.coalesce("next_dist", F.lit(0))).alias("dist"), moved.alias("moved"))
+        old, now = now, stored(rows, "chains")
+        forget(old)
+        if now.where("moved").isEmpty():
+            break
+    return now.select("id", "to", "dist", F.col("moved").alias("cyclic"))  # what still moves goes round in a circle
 
 
 def levels(edges: DataFrame) -> DataFrame:
-    """``(node, level)`` of the nodes of ``edges(id, dep)`` that depend on others: the longest chain below. Nodes on or behind a cycle have null."""
-    left, done, level = stored(edges.where("id is not null and dep is not null").distinct(), "open"), [], 0
+    """``(node, level)`` of the nodes of ``edges(id, dep)`` that depend on others: the longest chain below. Nodes on or behind a cycle have null.
+
+    Chains of nodes with one dependency are jumped over; only nodes with several are peeled off round by round.
+    """
+    edges = stored(edges.where("id is not null and dep is not null").distinct(), "needs")
+    chain = _jumped(edges)
+    several = edges.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(realigned_text(F.col("id")).alias("own"))
+    jump = chain.select(realigned_text(F.col("id")).alias("jump_id"), F.col("to"), F.col("dist"), "cyclic")
+    left = edges.join(several, F.col("id") == F.col("own"), "left_semi").join(jump, F.col("dep") == F.col("jump_id"), "left")
+    # A node behind a circle of single ones waits for itself.
+    left = stored(left.select("id", F.when(F.col("cyclic"), F.col("id")).otherwise(F.coalesce("to", "dep")).alias("dep"), F.coalesce("dist", F.lit(0)).alias("dist")), "open")
+    known = left.select(F.col("id").alias("known"), F.lit(0).cast("long").alias("level")).limit(0)
+    stuck = left.select(F.col("id").alias("known")).limit(0)
     while not left.isEmpty():
-        level += 1
-        nodes = left.select(realigned_text(F.col("id")).alias("node")).distinct()
-        blocked = left.join(nodes, F.col("dep") == F.col("node"), "left_semi").select(realigned_text(F.col("id")).alias("late")).distinct()
-        rest = stored(left.join(blocked, F.col("id") == F.col("late"), "left_semi"), "open")
-        ready = left.join(blocked, F.col("id") == F.col("late"), "left_anti").select(F.col("id").alias("node")).distinct()
-        ready = stored(ready.withColumn("level", F.lit(level)), "level")
-        stuck = ready.isEmpty()
-        if stuck:
-            ready = left.select(F.col("id").alias("node")).distinct().withColumn("level", F.lit(None).cast("int"))
-        done.append(ready)
-        if stuck:
+        waiting = left.select(realigned_text(F.col("id")).alias("node")).distinct()
+        blocked = left.join(waiting, F.col("dep") == F.col("node"), "left_semi").select(realigned_text(F.col("id")).alias("late")).distinct()
+        below = known.select(realigned_text(F.col("known")).alias("below"), F.col("level").alias("under"))
+        ready = left.join(blocked, F.col("id") == F.col("late"), "left_anti").join(below, F.col("dep") == F.col("below"), "left")
+        ready = stored(ready.groupBy(F.col("id").alias("known")).agg((1 + F.max(F.coalesce("under", F.lit(0)) + F.col("dist"))).alias("level")), "level")
+        if ready.isEmpty():
+            stuck = left.select(F.col("id").alias("known")).distinct()
             break
-        left = rest
-    return reduce(DataFrame.union, done) if done else left.select(F.col("id").alias("node"), F.lit(0).alias("level"))
+        known = known.union(ready)
+        left = stored(left.join(blocked, F.col("id") == F.col("late"), "left_semi"), "open")
+    known = known.union(stuck.select("known", F.lit(None).cast("long"))).withColumn("settled", F.lit(True))
+    ends = known.select(realigned_text(F.col("known")).alias("end"), F.col("level").alias("under"), "settled")
+    level = F.when(F.col("cyclic") | (F.col("settled") & F.col("under").isNull()), F.lit(None).cast("long")).otherwise(F.coalesce("under", F.lit(0)) + F.col("dist"))
+    single = chain.join(ends, F.col("to") == F.col("end"), "left").select(F.col("id").alias("node"), level.alias("level"))
+    return single.union(known.select(F.col("known").alias("node"), "level"))
 
 
 def realigned_text(key: Column) -> Column:
