@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import arrow, slices, text_bytes
+from quillon.llm.common import arrow, first_by_hash, slices, text_bytes
 from quillon.llm.quality import held_out
 
 SAMPLE = 2400
@@ -200,9 +200,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE, excerpt: int = EXCERPT) -> Model:
     """Learn from the documents, not held out, that come first by a hash of their id."""
     place = F.xxhash64("doc_id")
     start = F.pmod(place, F.greatest(F.char_length("text") - excerpt + 1, F.lit(1))).cast("int") + 1
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    rows = rows.select(place.alias("place"), "lang", F.substring("text", start, F.lit(excerpt)).alias("part"))
-    got = rows.orderBy("place", "lang", "part").limit(sample).collect()
+    rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    rows = rows.select(place.alias("place"), "lang", F.coalesce(F.substring("text", start, F.lit(excerpt)), F.lit("")).alias("part"))
+    got = [r for r in first_by_hash(rows, "place", sample, "lang", "part").collect() if r.part]
     return train([r.part.encode() for r in got], [r.lang for r in got])
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from quillon.llm.common import NOT_SPACE, arrow, slices, span_hashes, span_index, text_bytes, word_spans
+from quillon.llm.common import NOT_SPACE, arrow, first_by_hash, slices, span_hashes, span_index, text_bytes, word_spans
 
 BITS = 16
 #: Labelled rows that are learned from, at most.
@@ -116,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample:
     """Learn from the ``sample`` labelled rows, not held out, that come first by a hash of their id."""
     known = labels.select(F.col("doc_id").alias("label_id"), F.col(label_col).cast("int").alias("y")).where("label_id is not null and y in (0, 1)")
     known = known.where(~held_out(F.col("label_id"))).withColumn("place", F.xxhash64("label_id"))
-    chosen = known.orderBy("place", "label_id", "y").limit(sample)  # bounded, so that it may be broadcast
+    chosen = first_by_hash(known, "place", sample, "label_id", "y")  # bounded, so that it may be broadcast
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
     schema = pa.schema([("place", pa.int64()), ("y", pa.int32()), ("bucket", pa.binary()), ("share", pa.binary())])
 
