@@ -30,7 +30,9 @@ from pyspark.sql.types import StructType
 from quillon.llm.common import slices
 
 #: Words that a worker keeps encoded: the newest of these many, and as many before them.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 100_000
+#: Pairs of tokens whose compatibility a worker remembers.
+CACHE_PAIRS = 300_000
 #: Characters that lower-casing and cutting treat alike in all Unicode versions, and that composition leaves alone.
 UNCOMMON = re.compile("[^\x00-ɏ‐-‧€]")
 #: What the fast cut stands for.
@@ -138,7 +140,7 @@ class Encoder:
                 fits = joins.get(key)
                 if fits is None:
                     fits = self._is_sound(token) and self._apart(*key)
-                    if len(joins) > 2_000_000:
+                    if len(joins) >= CACHE_PAIRS:
                         joins.clear()
                     joins[key] = fits
             if fits:

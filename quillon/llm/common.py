@@ -137,6 +137,7 @@ def slices(batch: pa.RecordBatch, text: str, limit: int) -> Iterator[pa.RecordBa
         stop = max(start + 1, int(np.searchsorted(ends, done + limit, "right")))
         yield batch.slice(start, stop - start)
         start = stop
+    pa.default_memory_pool().release_unused()  # workers live on, and so would what their allocator holds
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
