@@ -104,6 +104,7 @@ def linked(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFram
 
     ``calls``: ``conv_id, place, call_id, name, arguments, needs`` (an array of identifiers); ``results``: ``call_id, place, content``.
     """
+    calls = calls.select("conv_id", "place", "call_id", "name", "arguments", "needs")
     results = results.where("call_id is not null").groupBy("call_id").agg(F.count("*").alias("n_results"), F.min(F.struct("place", "content"))["content"].alias("content"))
     results = results.select(realigned_text(F.col("call_id")).alias("result_id"), "n_results", "content")
     ids = calls.where("call_id is not null").groupBy("call_id").agg(F.count("*").alias("uses"))
