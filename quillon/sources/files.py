@@ -6,7 +6,7 @@ import re
 import subprocess
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import paths
@@ -115,7 +115,12 @@ def packages(files: DataFrame, path: str = "path", text: str = "text") -> DataFr
     """``package, kind, name, version`` of all dependencies that package manifests state."""
     kinds = ["dependencies", "devDependencies", "peerDependencies"]
     rows = files.where(paths.base_name(F.col(path)) == "package.json")
-    maps = [F.transform(F.map_entries(F.from_json(F.get_json_object(text, f"$.{k}"), "map<string,string>")), lambda e, k=k, i=i: F.struct(F.lit(i).alias("kind"), F.lit(k).alias("section"), e["key"].alias("name"), e["value"].alias("version"))) for i, k in enumerate(kinds)]
+
+    def stated(i: int, k: str) -> Column:
+        entries = F.map_entries(F.from_json(F.get_json_object(text, f"$.{k}"), "map<string,string>"))
+        return F.transform(entries, lambda e: F.struct(F.lit(i).alias("kind"), F.lit(k).alias("section"), e["key"].alias("name"), e["value"].alias("version")))
+
+    maps = [stated(i, k) for i, k in enumerate(kinds)]
     none = F.array().cast("array<struct<kind:int,section:string,name:string,version:string>>")
     return rows.select(F.col(path).alias("package"), F.explode(F.concat(*[F.coalesce(m, none) for m in maps])).alias("d")).select("package", "d.kind", "d.section", "d.name", "d.version")
 
