@@ -19,6 +19,7 @@ import hashlib
 import json
 import re
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import ahocorasick
 import numpy as np
@@ -54,15 +55,13 @@ class Encoder:
     """Encodes texts as the library does.  A word is a string of symbols: byte b is chr(b), the last one chr(256 + b)."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.path = path
         model = spec["model"]
         suffix = model["end_of_word_suffix"]
         if model["type"] != "BPE" or not suffix:
             raise ValueError("a BPE model with an end-of-word suffix is needed")
-        self.library = Tokenizer.from_file(path)
         self.simple = all(spec[k] == v for k, v in CUT.items())
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
@@ -122,6 +121,13 @@ class Encoder:
             self.sound[token] = known
         return known
 
+    @cached_property
+    def library(self):
+        """The library's tokenizer, for its normaliser and its cuts; loaded with the first text that needs them."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def tokens(self, word: str) -> list[int]:
         """Ids of one word, given as UTF-8 text."""
         s = word.encode().decode("latin-1")

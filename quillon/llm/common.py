@@ -182,7 +182,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0, piece: int = 1 << 20) -> np.ndarray:
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0, piece: int = 1 << 18) -> np.ndarray:
     """A 64-bit hash of each span of bytes, from running polynomial sums; equal spans hash equally.
 
     Spans are in order and don't overlap; about ``piece`` bytes are worked on at once.

@@ -219,7 +219,7 @@ def _merged(hit: np.ndarray, row: np.ndarray, n: int) -> list[np.ndarray]:
     return [np.stack([first[a:b], last[a:b]], axis=1) - base[k] for k, (a, b) in enumerate(zip(own[:-1], own[1:]))]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, shard_bytes: int = 4 << 20, phrase_bytes: int = 16 << 20) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, shard_bytes: int = 2 << 20, phrase_bytes: int = 16 << 20) -> DataFrame:
     """``doc_id, n_words, n_hit, items, spans`` for every row; ``spans`` are merged runs of hit words, as first and last word number."""
     spark = docs.sparkSession
     out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"), F.array().cast("array<struct<first:int,last:int>>").alias("spans"))
@@ -246,7 +246,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_bytes: int = 4 << 20, phrase_bytes: int = 16 << 20) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_bytes: int = 2 << 20, phrase_bytes: int = 16 << 20) -> DataFrame:
     """``docs`` with every merged span cut out of ``text``, from its first hit word to its last; other columns and rows stay.
 
     ``n_chars``, where there is such a column, is the new text's length.
