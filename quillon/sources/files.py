@@ -111,6 +111,15 @@ def guides(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("path", "pos", "s.heading", "s.body").where("body <> '' or heading is not null")
 
 
+def package_files(spark: SparkSession, root: str) -> DataFrame:
+    """``path, text`` of a tree's package manifests, outside folders that are never indexed."""
+    base = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "package.json").load(root)
+    prefix = re.sub(r"^file:/+", "/", root.rstrip("/")) + "/"
+    path = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^" + re.escape(prefix), "")
+    rows = base.select(path.alias("path"), F.col("content").cast("string").alias("text"))
+    return rows.where(~F.exists(F.split(F.lower("path"), "/"), lambda x: x.isin(paths.EXCLUDED_DIRECTORIES)))
+
+
 def packages(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """``package, kind, name, version`` of all dependencies that package manifests state."""
     kinds = ["dependencies", "devDependencies", "peerDependencies"]
