@@ -205,9 +205,10 @@ def encoder(path: str) -> Encoder:
 
 
 def _mapped(docs: DataFrame, path: str, text_col: str, more: str, columns: Callable[[list[tuple[str, str, int]]], tuple]) -> DataFrame:
-    """``docs`` with columns computed from each text's entries."""
+    """``docs`` with columns computed from each text's entries, in place of columns of those names."""
     added = StructType.fromDDL(more)
     names = added.fieldNames()
+    docs = docs.drop(*names)
     kinds = {"bigint": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
     types = [kinds[f.dataType.simpleString()] for f in added]
 

@@ -280,3 +280,17 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, shar
 def op10_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = contamination(docs, benchmark)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+bi AS (SELECT item_id, words, unnest(generate_series(1, greatest(1, len(words) - 9))) AS i FROM b WHERE len(words) > 0),
+k AS (SELECT DISTINCT item_id, least(10, len(words)) AS n, array_to_string(words[i:i + 9], ' ') AS k FROM bi),
+di AS (SELECT doc_id, n, words, unnest(generate_series(1, len(words) - n + 1)) AS i FROM d, (SELECT DISTINCT n FROM k) WHERE len(words) >= n),
+hit AS (SELECT doc_id, item_id, i, k.n FROM (SELECT doc_id, n, i, array_to_string(words[i:i + n - 1], ' ') AS k FROM di) JOIN k USING (n, k)),
+p AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM hit) GROUP BY doc_id),
+q AS (SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS items FROM hit GROUP BY doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items,
+  sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN p USING (doc_id) LEFT JOIN q USING (doc_id)
+"""

@@ -42,7 +42,12 @@ def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
 
 
 def without_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 10, keep_first: bool = True) -> DataFrame:
-    """``docs`` with its boilerplate lines cut from the text, and ``n_lines`` and ``n_removed``."""
+    """``docs`` with its boilerplate lines cut from the text, and ``n_lines`` and ``n_removed``, which replace columns of those names."""
+    out = _cut(docs.drop("n_lines", "n_removed"), id_col, text_col, site_col, min_sites, keep_first)
+    return out.withColumnsRenamed({"__n_lines": "n_lines", "__n_removed": "n_removed"})
+
+
+def _cut(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_sites: int, keep_first: bool) -> DataFrame:
     own = docs.select(F.col(id_col).alias("doc"), F.col(site_col).cast("string").alias("site"), F.xxhash64(text_col).alias("tag"), F.posexplode(F.split(text_col, "\n", -1)).alias("pos", "line"))
     own = own.withColumn("line", _trimmed(F.col("line"))).where("line <> ''")
     at = F.struct(F.col("doc").isNull().alias("unknown"), "doc", "pos", "tag")
@@ -57,7 +62,7 @@ def without_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     kept = F.when(F.col("__gone").isNull(), docs[text_col]).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__gone", i)), "\n"))
     columns = [kept.alias(c) if c == text_col else docs[c] for c in docs.columns]
     n_lines = F.size(F.filter(parts, lambda x: _trimmed(x) != ""))
-    return joined.select(*columns, F.when(docs[text_col].isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"), F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long").alias("n_removed"))
+    return joined.select(*columns, F.when(docs[text_col].isNull(), 0).otherwise(n_lines).cast("long").alias("__n_lines"), F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long").alias("__n_removed"))
 
 
 def op3_line_dedup(docs: DataFrame) -> DataFrame:
@@ -82,7 +87,7 @@ FROM documents d JOIN marked m USING (doc_id) GROUP BY d.doc_id
 """
 
 
-def keep_unspread(docs: DataFrame) -> DataFrame:
+def keep_unspread(docs: DataFrame, min_sites: int = 10) -> DataFrame:
     """``docs`` without boilerplate lines; same columns, ``n_chars`` the length of what stays."""
-    out = without_boilerplate(docs).drop("n_lines", "n_removed")
+    out = _cut(docs, "doc_id", "text", "source", min_sites, True).drop("__n_lines", "__n_removed")
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -136,7 +136,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample:
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", least: float | None = None) -> DataFrame:
-    """``docs`` with ``score``; with ``least``, only rows that reach it, and no further column."""
+    """``docs`` with ``score``, in place of a column of that name; with ``least``, only rows that reach it, and their columns as they are."""
+    docs = docs if least is not None else docs.drop("score")
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

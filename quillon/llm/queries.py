@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from quillon.llm import bpe, chat, decontaminate, embeddings, langid, lines, quality, simhash, substrings, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {"op3_line_dedup": lines.ORACLE, "op9_chat_tools": chat.ORACLE}
+ORACLE: dict[str, str] = {
+    "op1_embedding_near_dedup": embeddings.ORACLE, "op2_substring_dedup": substrings.ORACLE, "op3_line_dedup": lines.ORACLE, "op9_chat_tools": chat.ORACLE, "op10_decontamination": decontaminate.ORACLE,
+}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -192,6 +192,6 @@ def op4_simhash(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are the first of their near-duplicate group; columns unchanged."""
+    """The rows of ``docs`` that are the first of their near-duplicate group; columns unchanged. Rows that repeat a kept doc_id, and those without one, stay."""
     kept = near_duplicates(docs).where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("__kept_id")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept_id"]), "left_semi")

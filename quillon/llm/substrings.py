@@ -295,3 +295,15 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def op2_substring_dedup(docs: DataFrame) -> DataFrame:
     return without_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+starts AS (SELECT doc_id, words, unnest(generate_series(1, len(words) - 12)) AS i FROM w WHERE len(words) >= 13),
+s AS (SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS k FROM starts),
+f AS (SELECT k, min(doc_id) AS first FROM s GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 12)) AS p FROM s JOIN f USING (k) WHERE first < doc_id),
+x AS (SELECT doc_id, unnest(words) AS word, unnest(generate_series(1, len(words))) AS p FROM w),
+kept AS (SELECT x.doc_id, count(gone.p) AS n, string_agg(word, ' ' ORDER BY x.p) FILTER (WHERE gone.p IS NULL) AS t FROM x LEFT JOIN gone USING (doc_id, p) GROUP BY x.doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""

@@ -83,7 +83,7 @@ def test_conversations_with_nulls(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     want = con.sql(queries.ORACLE[name])
     got = queries.QUERIES[name](spark, SMALL)
@@ -138,3 +138,22 @@ def test_pipeline_stages(spark):
     library = Tokenizer.from_file(corpus_pipeline.TOKENIZER)
     assert coded.keys() == e.keys()
     assert all(list(coded[i].ids) == library.encode(e[i].text, add_special_tokens=False).ids for i in e)
+
+
+def test_stages_take_odd_tables(spark, tmp_path):
+    rows = [(1, None, None, None, None), (None, "a b c", "en", "s1", 5), (2, "", "en", None, 0), (3, "x " * 50_000, "en", "s2", 100_000), (4, "same line\nof text", "en", "s3", 17), (4, "same line\nof text", "en", "s3", 17), (5, "same line\nof text", None, "s4", 17)]
+    spark.createDataFrame([(4, 1, 0), (5, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "a b c"), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    clash = {c: "n_chars" for c in ("score", "n_lines", "n_removed", "tag", "site", "fp", "node", "component", "component_id", "rep", "kept", "spans", "items", "hits", "ids", "decoded", "n_tokens", "place", "pos", "line")}
+    wide = docs.selectExpr("*", *[f"{v} AS {k}" for k, v in clash.items()])
+    for frame in (docs, wide, docs.limit(0)):
+        n = frame.count()
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, frame, str(tmp_path))
+            got = out.count()
+            if k < 4:
+                assert out.columns == frame.columns
+            assert got == (5 if k == 2 and n else n), k
+            if k == 3 and n:
+                assert [r.text for r in out.where("doc_id is null").collect()] == [""]
