@@ -54,19 +54,18 @@ def conflicts(shares: DataFrame, complementary: DataFrame | None = None) -> Data
 def canonical_examples(examples: DataFrame) -> DataFrame:
     """For each ``category, name`` the example that a reader in order of ``seq`` ends with.
 
-    One in a core or shared directory replaces one that isn't; among equals one of over 50 characters replaces a longer one of over 200.
-    A fold over the group in order: at most one example is held at a time, in a grouped aggregate over the sorted list.
+    The reader keeps the first example, but takes one from a core or shared directory over one that isn't, and among equals one of over 50
+    characters over a longer one of over 200. So examples outside those directories count only where there is none inside; the first
+    stays if it has at most 200 characters; else the first of 51 to 200 wins, or without any the first of the shortest. These are plain
+    aggregates, and no group is held in a task.
     """
     prior = F.contains("file", F.lit("core/")) | F.contains("file", F.lit("shared/"))
-    rows = examples.withColumn("prior", prior).groupBy("category", "name").agg(F.array_sort(F.collect_list(F.struct("seq", "file", "snippet", "prior"))).alias("all"))
-
-    def better(held: Column, new: Column) -> Column:
-        size, old = F.length(new["snippet"]), F.length(held["snippet"])
-        shorter = (held["prior"] == new["prior"]) & (old > 200) & (size < old) & (size > 50)
-        return F.when((new["prior"] & ~held["prior"]) | shorter, new).otherwise(held)
-
-    best = F.aggregate(F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(0))), F.element_at("all", 1), better)
-    return rows.select("category", "name", best.alias("x")).select("category", "name", "x.file", "x.snippet")
+    one, size = F.struct("file", "snippet"), F.length("snippet")
+    rows = examples.withColumn("prior", prior).groupBy("category", "name", "prior").agg(
+        F.min_by(one, "seq").alias("first"), F.min_by(one, F.when(size.between(51, 200), F.col("seq"))).alias("short"), F.min_by(one, F.when(size > 200, F.struct(size, "seq"))).alias("least")
+    )
+    best = F.when(F.length("first.snippet") <= 200, F.col("first")).otherwise(F.coalesce("short", "least"))
+    return rows.groupBy("category", "name").agg(F.max_by(best, "prior").alias("x")).select("category", "name", "x.file", "x.snippet")
 
 
 def golden_files(observed: DataFrame, k: int = 5, least: int = 2) -> DataFrame:

@@ -180,12 +180,20 @@ def test_robust_dates_at_the_bounds(spark):
     assert got == want
 
 
-def test_canonical_examples(spark):
-    rows = [("c", "n", 1, "app/a", "x" * 300), ("c", "n", 2, "app/b", "y" * 40), ("c", "n", 3, "app/c", "z" * 60), ("c", "n", 4, "core/d", "w" * 500), ("c", "n", 5, "app/e", "v" * 60)]
-    got = patterns.canonical_examples(spark.createDataFrame(rows, "category string, name string, seq int, file string, snippet string")).first()
-    assert got.file == "core/d"
-    got = patterns.canonical_examples(spark.createDataFrame(rows[:3], "category string, name string, seq int, file string, snippet string")).first()
-    assert got.file == "app/c"
+def test_canonical_examples_equal_the_reader(spark):
+    rnd = random.Random(4)
+    rows = [("c", f"n{g}", k, rnd.choice(["app/", "app/", "core/", "x/shared/"]) + str(k), "x" * rnd.choice([10, 50, 51, 120, 200, 201, 250, 300, 400])) for g in range(60) for k in range(rnd.randrange(1, 9))]
+    want = {}
+    for _, name, _, file, snippet in rows:
+        held = want.get(name)
+        inside = "core/" in file or "shared/" in file
+        if held:
+            was = "core/" in held[0] or "shared/" in held[0]
+            better = (inside and not was) or (inside == was and len(held[1]) > 200 and 50 < len(snippet) < len(held[1]))
+        if not held or better:
+            want[name] = (file, snippet)
+    got = patterns.canonical_examples(spark.createDataFrame(rows, "category string, name string, seq int, file string, snippet string"))
+    assert {r.name: (r.file, r.snippet) for r in got.collect()} == want
 
 
 def test_notes(spark):
