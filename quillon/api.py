@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quillon.functions import paths, scores, text
 from quillon.operators import analyzers, chunking, graph, health, manifest, notes, patterns, preflight, review, search, vectors
 from quillon.sources import files as sources
+from quillon.sources import guards
 from quillon.sources.generations import Store
 
 
@@ -54,14 +55,26 @@ class Project:
         symbols = python.union(other.select("path", "kind", "name", F.col("line").alias("start"), F.col("line").alias("end"), F.lit(None).cast("string").alias("parent")))
         return {"files": files, "manifest": manifest.manifest(files), "chunks": chunks, "symbols": symbols, "edges": graph.merged_edges(edges), "packages": known.where("outcome = 'external'").select("path", "source"), "unresolved": known.where("outcome in ('not-found', 'outside-root')"), "facts": analyzers.framework_facts(files), "dependencies": sources.packages(sources.package_files(self.spark, self.root))}
 
+    @property
+    def _embedding(self) -> str:
+        return f"{type(self.provider).__name__}:{self.provider.dimensions}" if self.provider else "none"
+
+    def _publish(self, tables: dict[str, DataFrame]) -> str:
+        with guards.one_writer(self.spark, self.store):
+            return self.index.publish(tables, root=self.root, embedding=self._embedding, chunk_lines=self.chunk_lines, built=dt.datetime.now(dt.timezone.utc).isoformat())
+
     def build(self) -> str:
         """Index all eligible files as a new generation."""
         kept, _ = sources.capped(sources.scan(self.spark, self.root, self.ignore))
-        return self.index.publish(self._tables(kept), root=self.root, built=dt.datetime.now(dt.timezone.utc).isoformat())
+        return self._publish(self._tables(kept))
 
     def refresh(self) -> str | None:
-        """A new generation if any file changed; only changed files are cut and embedded anew."""
-        if self.index.state() != "committed":
+        """A new generation if any file changed; only changed files are cut and embedded anew.
+
+        An index that isn't whole, or was made with another provider or chunk size, is built from nothing.
+        """
+        meta = self.index.meta()
+        if meta is None or (meta.get("embedding"), meta.get("chunk_lines")) != (self._embedding, self.chunk_lines):
             return self.build()
         kept, _ = sources.capped(sources.scan(self.spark, self.root, self.ignore))
         old = self.index.open()
@@ -71,7 +84,7 @@ class Project:
         touched = kept.join(changes.where("status in ('added', 'changed')").select("path"), "path", "left_semi")
         new = self._tables(kept)
         new["chunks"] = manifest.rebuilt(old["chunks"], changes, self._tables(touched)["chunks"].select(*old["chunks"].columns))
-        return self.index.publish(new, root=self.root, built=dt.datetime.now(dt.timezone.utc).isoformat())
+        return self._publish(new)
 
     def status(self) -> dict[str, object]:
         """The index's state and its counts."""
@@ -82,6 +95,7 @@ class Project:
 
     def search(self, *queries: str, k: int = 5, filters: dict[str, str] | None = None) -> DataFrame:
         """Ranked files for each query: keywords of all variants and, with a provider, vectors, fused; best chunk of a file."""
+        guards.check_request([queries, filters])
         chunks = search.filtered(self.index.open("chunks")["chunks"], filters or {})
         asked = self.spark.createDataFrame(list(enumerate(queries)), "query_id long, query string").withColumn("i", text.intent(F.col("query")))
         forms = asked.select("query_id", "i", F.posexplode(text.variants(F.col("query"))).alias("variant", "v"))

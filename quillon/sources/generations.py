@@ -70,6 +70,10 @@ class Store:
         meta = self._read(f"gen={pointer['build']}/meta.json")
         return "committed" if meta and meta["build"] == pointer["build"] else "incomplete"
 
+    def meta(self) -> dict | None:
+        """What the current generation says of itself; None unless it is whole."""
+        return self._read(f"gen={self._read('current.json')['build']}/meta.json") if self.state() == "committed" else None
+
     def open(self, *names: str) -> dict[str, DataFrame]:
         """The current generation's tables, all or those named."""
         if (state := self.state()) != "committed":

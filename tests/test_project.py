@@ -10,6 +10,7 @@ import pytest
 from quillon.__main__ import main
 from quillon.api import Project
 from quillon.operators.vectors import HashedWords, check_dimensions
+from quillon.sources import guards
 
 TREE = {
     "package.json": '{"dependencies": {"react": "^18.0.0"}, "devDependencies": {"vitest": "~1.0"}}',
@@ -76,6 +77,42 @@ def test_refresh_takes_only_what_changed(project):
     assert project.relationships("src/main.ts").count() == 1
 
 
+def test_another_provider_builds_anew(project):
+    other = Project(project.spark, project.root, project.store, provider=HashedWords(16))
+    assert other.refresh() and not other.refresh()
+    check_dimensions(other.index.open("chunks")["chunks"], 16)
+
+
+def test_guards(spark, tmp_path):
+    guards.check_request({"a": [1, {"b": 2}]})
+    deep = []
+    for _ in range(70):
+        deep = [deep]
+    for bad in (deep, list(range(10_001))):
+        with pytest.raises(ValueError):
+            guards.check_request(bad)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "link").symlink_to("/etc")
+    assert guards.confined(str(tmp_path), "in/x.ts") == "in/x.ts"
+    assert [guards.confined(str(tmp_path), p) for p in ("../x", "/etc/passwd", "link/passwd", ".")] == [None] * 4
+    config = tmp_path / "c.json"
+    assert guards.load_config(str(config)) == {}
+    config.write_text('{"chunk_lines": 20}')
+    assert guards.load_config(str(config)) == {"chunk_lines": 20}
+    for bad in ("[]", '{"x": 1}', '{"chunk_lines": "a"}', '{"chunk_lines": true}'):
+        config.write_text(bad)
+        with pytest.raises(ValueError):
+            guards.load_config(str(config))
+    with guards.one_writer(spark, tmp_path.as_uri()):
+        with pytest.raises(TimeoutError):
+            with guards.one_writer(spark, tmp_path.as_uri(), wait=0.3):
+                pass
+        with guards.one_writer(spark, tmp_path.as_uri(), wait=5, dead_after=-1):
+            pass
+    with guards.one_writer(spark, tmp_path.as_uri(), wait=0.1):
+        pass
+
+
 def test_review_and_command_line(spark, tmp_path, capsys):
     git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=a", "-c", "user.email=a@b", *a], check=True, capture_output=True)
     git("init", "-q")
