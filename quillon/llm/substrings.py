@@ -145,15 +145,21 @@ def _expand(raw: bytes) -> bytes:
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    return b"".join(len(raw := _PACK.compress(a.tobytes())).to_bytes(8, "little") + raw for a in arrays)
+    """Arrays as one block: their sizes, then their bytes, compressed unless there are few of them."""
+    sizes = np.array([a.nbytes for a in arrays], np.uint32).tobytes()
+    raw = b"".join([a.tobytes() for a in arrays])
+    small = len(raw) < 512
+    return sizes + (b"\0" + raw if small else b"\1" + _PACK.compress(raw))
 
 
-def _unpack(raw: bytes, *types) -> list[np.ndarray]:
+def _unpack(block: bytes, *types) -> list[np.ndarray]:
+    at = 4 * len(types)
+    sizes = np.frombuffer(block, np.uint32, len(types)).tolist()
+    raw = block[at + 1 :] if block[at] == 0 else _UNPACK.decompress(block[at + 1 :])
     out, at = [], 0
-    for t in types:
-        n = int.from_bytes(raw[at : at + 8], "little")
-        out.append(np.frombuffer(_UNPACK.decompress(raw[at + 8 : at + 8 + n]), t))
-        at += 8 + n
+    for kind, n in zip(types, sizes):
+        out.append(np.frombuffer(raw[at : at + n], kind))
+        at += n
     return out
 
 
@@ -249,7 +255,7 @@ def covered_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                         yield arrow(out, doc_id=doc, tag=tag, first=first.astype(np.int32), stop=stop.astype(np.int32))
 
     sent_rows = rows.mapInArrow(shards, "bucket int, block binary")
-    return sent_rows.repartition(max(parts, buckets // 4), "bucket").sortWithinPartitions("bucket").mapInArrow(resolve, "doc_id long, tag long, first int, stop int")
+    return sent_rows.repartitionById(max(parts, buckets // 4), "bucket").sortWithinPartitions("bucket").mapInArrow(resolve, "doc_id long, tag long, first int, stop int")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, mer: int = 3) -> DataFrame:
