@@ -100,7 +100,7 @@ class Project:
         asked = self.spark.createDataFrame(list(enumerate(queries)), "query_id long, query string").withColumn("i", text.intent(F.col("query")))
         forms = asked.select("query_id", "i", F.posexplode(text.variants(F.col("query"))).alias("variant", "v"))
         terms = forms.select(F.struct("query_id", "variant").alias("query_id"), F.explode(text.query_terms(F.col("v.query"))).alias("term"))
-        hits = search.keyword_matches(terms, search.postings(chunks, ["chunk_id"], "content"), ["chunk_id"], every=False)
+        hits = search.keyword_matches(terms, search.postings(chunks, ["chunk_id"], "content", terms), ["chunk_id"], every=False)
         words = search.ranked(hits, [F.desc("matched"), F.desc("score"), F.asc("chunk_id")], 50)
         words = words.select("query_id.query_id", "query_id.variant", "chunk_id", "rank").join(forms.select("query_id", "variant", "v.weight", "i.keyword"), ["query_id", "variant"])
         lists = words.select("query_id", F.col("chunk_id").alias("id"), "rank", (F.col("weight") * F.col("keyword")).alias("weight"))

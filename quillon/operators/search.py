@@ -16,9 +16,12 @@ from quillon.functions import paths, scores, text
 RRF_K = 60
 
 
-def postings(rows: DataFrame, key: list[str], body: str) -> DataFrame:
-    """``key, term, tf``: how often each query term stands in a row's text."""
-    return rows.select(*key, F.explode(text.query_terms(F.col(body))).alias("term")).groupBy(*key, "term").agg(F.count("*").alias("tf"))
+def postings(rows: DataFrame, key: list[str], body: str, only: DataFrame | None = None) -> DataFrame:
+    """``key, term, tf``: how often each query term stands in a row's text; with ``only``, a frame of terms, just these, filtered before anything is shuffled."""
+    words = rows.select(*key, F.explode(text.query_terms(F.col(body))).alias("term"))
+    if only is not None:
+        words = words.join(only.select("term").distinct(), "term", "left_semi")
+    return words.groupBy(*key, "term").agg(F.count("*").alias("tf"))
 
 
 def keyword_matches(queries: DataFrame, posts: DataFrame, key: list[str], every: bool = True) -> DataFrame:
@@ -43,8 +46,10 @@ def close_terms(queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 def ranked(rows: DataFrame, order: list[Column], keep: int | None = None, name: str = "rank") -> DataFrame:
     """Ranks from 0 within each query; with ``keep`` only the first so many."""
-    out = rows.withColumn(name, F.row_number().over(Window.partitionBy("query_id").orderBy(*order)) - 1)
-    return out if keep is None else out.where(F.col(name) < keep)
+    out = rows.withColumn(name, F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+    if keep is not None:
+        out = out.where(F.col(name) <= keep)  # in this form each task keeps only so many rows of a query before the shuffle
+    return out.withColumn(name, F.col(name) - 1)
 
 
 def first_of_file(rows: DataFrame, order: list[Column], file: str = "doc_id") -> DataFrame:
@@ -73,11 +78,12 @@ def fused(lists: DataFrame, weights: float = 1.0) -> DataFrame:
 def rescued(queries: DataFrame, rows: DataFrame, key: str, body: str) -> DataFrame:
     """Rows that hold at least two of a query's clues, in any inflection: ``clues`` and ``density``."""
     q = queries.select("query_id", F.posexplode(text.clues(F.col("query"))).alias("n", "word")).select("query_id", "n", F.explode(text.aliases(F.col("word"))).alias("alias"))
-    words = rows.select(key, F.explode(text.words(F.col(body))).alias("w"))
-    total = words.groupBy(key).agg(F.count("*").alias("words"))
-    alias = words.select(key, "w").groupBy(key, "w").agg(F.count("*").alias("tf")).select(key, "tf", F.explode(text.aliases(F.col("w"))).alias("alias"))
-    hit = q.join(alias, "alias").groupBy("query_id", key, "n").agg(F.max("tf").alias("tf")).groupBy("query_id", key).agg(F.count("*").alias("clues"), F.sum(F.sqrt("tf")).alias("mass"))
-    return hit.where("clues >= 2").join(total, key).select("query_id", key, "clues", (F.col("mass") / F.sqrt("words")).alias("density"))
+    words = rows.select(key, text.words(F.col(body)).alias("words"))
+    total = words.select(key, F.size("words").alias("n_words"))
+    seen = words.select(key, F.explode("words").alias("w")).select(key, "w", F.explode(text.aliases(F.col("w"))).alias("alias"))
+    tf = q.join(seen, "alias").groupBy("query_id", key, "n", "w", "alias").agg(F.count("*").alias("tf"))
+    hit = tf.groupBy("query_id", key, "n").agg(F.max("tf").alias("tf")).groupBy("query_id", key).agg(F.count("*").alias("clues"), F.sum(F.sqrt("tf")).alias("mass"))
+    return hit.where("clues >= 2").join(total, key).select("query_id", key, "clues", (F.col("mass") / F.sqrt("n_words")).alias("density"))
 
 
 def union_first(lists: list[DataFrame], key: str = "id") -> DataFrame:

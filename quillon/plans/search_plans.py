@@ -35,7 +35,8 @@ def _queries(spark: SparkSession, d: str) -> DataFrame:
   SELECT r.query_id, r.doc_id, r.chunk::INTEGER AS chunk, r.score, r.rank::INTEGER AS rank, split_part(c.content, chr(10), 1) AS snippet FROM r JOIN c ON c.doc_id = r.doc_id AND c.chunk = r.chunk WHERE rank < 10""")
 def keyword_topk(spark: SparkSession, d: str) -> DataFrame:
     chunks = chunking.line_chunks(table(spark, d, "documents"), 5)
-    hits = search.keyword_matches(_queries(spark, d), search.postings(chunks, ["doc_id", "chunk"], "content"), ["doc_id", "chunk"])
+    asked = _queries(spark, d)
+    hits = search.keyword_matches(asked, search.postings(chunks, ["doc_id", "chunk"], "content", asked), ["doc_id", "chunk"])
     best = search.ranked(search.first_of_file(hits, [F.desc("score"), F.asc("chunk")]), [F.desc("score"), F.asc("doc_id"), F.asc("chunk")], 10)
     return best.join(chunks, ["doc_id", "chunk"]).select("query_id", "doc_id", "chunk", "score", "rank", F.substring_index("content", "\n", 1).alias("snippet"))
 
