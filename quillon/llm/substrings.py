@@ -132,7 +132,7 @@ def _cut(shard: _Shard, order: np.ndarray, k: int, mer: int, seed: int):
     return at[later], rest[first], np.diff(np.r_[first, len(rest)]), m[first]
 
 
-_PACK = zstandard.ZstdCompressor(level=3)
+_PACK = zstandard.ZstdCompressor(level=5)
 _UNPACK = zstandard.ZstdDecompressor()
 
 
@@ -145,20 +145,19 @@ def _expand(raw: bytes) -> bytes:
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as one block: their sizes, then their bytes, compressed unless there are few of them."""
-    sizes = np.array([a.nbytes for a in arrays], np.uint32).tobytes()
-    raw = b"".join([a.tobytes() for a in arrays])
-    small = len(raw) < 512
-    return sizes + (b"\0" + raw if small else b"\1" + _PACK.compress(raw))
+    """Arrays as one block: a mark, their sizes, their bytes; each is compressed on its own unless there are few bytes."""
+    raw = [a.tobytes() for a in arrays]
+    small = sum(map(len, raw)) < 512
+    parts = raw if small else [_PACK.compress(r) for r in raw]
+    return b"".join([b"\0" if small else b"\1", np.array(list(map(len, parts)), np.uint32).tobytes(), *parts])
 
 
 def _unpack(block: bytes, *types) -> list[np.ndarray]:
-    at = 4 * len(types)
-    sizes = np.frombuffer(block, np.uint32, len(types)).tolist()
-    raw = block[at + 1 :] if block[at] == 0 else _UNPACK.decompress(block[at + 1 :])
-    out, at = [], 0
+    sizes = np.frombuffer(block, np.uint32, len(types), 1).tolist()
+    out, at = [], 1 + 4 * len(types)
     for kind, n in zip(types, sizes):
-        out.append(np.frombuffer(raw[at : at + n], kind))
+        part = block[at : at + n]
+        out.append(np.frombuffer(part if block[0] == 0 else _UNPACK.decompress(part), kind))
         at += n
     return out
 
