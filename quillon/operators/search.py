@@ -80,8 +80,11 @@ def rescued(queries: DataFrame, rows: DataFrame, key: str, body: str) -> DataFra
     q = queries.select("query_id", F.posexplode(text.clues(F.col("query"))).alias("n", "word")).select("query_id", "n", F.explode(text.aliases(F.col("word"))).alias("alias"))
     words = rows.select(key, text.words(F.col(body)).alias("words"))
     total = words.select(key, F.size("words").alias("n_words"))
-    seen = words.select(key, F.explode("words").alias("w")).select(key, "w", F.explode(text.aliases(F.col("w"))).alias("alias"))
-    tf = q.join(seen, "alias").groupBy("query_id", key, "n", "w", "alias").agg(F.count("*").alias("tf"))
+    # Aliases are taken of the vocabulary, not of every occurrence; only words that some clue matches go on to the count.
+    seen = words.select(key, F.explode("words").alias("w"))
+    vocabulary = seen.select("w").distinct().select("w", F.explode(text.aliases(F.col("w"))).alias("alias"))
+    wanted = q.join(vocabulary, "alias").select("query_id", "n", "w").distinct()
+    tf = wanted.join(seen, "w").groupBy("query_id", key, "n", "w").agg(F.count("*").alias("tf"))
     hit = tf.groupBy("query_id", key, "n").agg(F.max("tf").alias("tf")).groupBy("query_id", key).agg(F.count("*").alias("clues"), F.sum(F.sqrt("tf")).alias("mass"))
     return hit.where("clues >= 2").join(total, key).select("query_id", key, "clues", (F.col("mass") / F.sqrt("n_words")).alias("density"))
 
