@@ -219,6 +219,17 @@ def _merged(hit: np.ndarray, row: np.ndarray, n: int) -> list[np.ndarray]:
     return [np.stack([first[a:b], last[a:b]], axis=1) - base[k] for k, (a, b) in enumerate(zip(own[:-1], own[1:]))]
 
 
+def _mark(hit: np.ndarray, base: np.ndarray, column: pa.Array) -> None:
+    """Set ``hit`` on the words that the spans of ``column`` hold, whose row k begins at word ``base[k]``."""
+    for k, spans in enumerate(column.to_pylist()):
+        for s in spans:
+            hit[base[k] + s["first"] : base[k] + s["last"] + 1] = True
+
+
+def _span_array(spans: list[np.ndarray]) -> pa.Array:
+    return pa.array([[{"first": a, "last": b} for a, b in x.tolist()] for x in spans], pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, shard_bytes: int = 2 << 20, phrase_bytes: int = 16 << 20) -> DataFrame:
     """``doc_id, n_words, n_hit, items, spans`` for every row; ``spans`` are merged runs of hit words, as first and last word number."""
     spark = docs.sparkSession
@@ -233,13 +244,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 for batch in slices(whole, "text", shard_bytes):
                     _, _, row, hit, items = scan(sent.value, batch.column("text"))
                     base = np.searchsorted(row, np.arange(batch.num_rows))
-                    for k, spans in enumerate(batch.column("spans").to_pylist()):
-                        for s in spans:
-                            hit[base[k] + s["first"] : base[k] + s["last"] + 1] = True
+                    _mark(hit, base, batch.column("spans"))
                     items = [sorted(a | set(b)) for a, b in zip(items, batch.column("items").to_pylist())]
-                    spans = [[{"first": a, "last": b} for a, b in x.tolist()] for x in _merged(hit, row, batch.num_rows)]
                     n, m = (np.bincount(row, minlength=batch.num_rows), np.bincount(row[hit], minlength=batch.num_rows))
-                    new = {"n_words": pa.array(n, pa.int64()), "n_hit": pa.array(m, pa.int64()), "items": pa.array(items, pa.list_(pa.string())), "spans": pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))}
+                    new = {"n_words": pa.array(n, pa.int64()), "n_hit": pa.array(m, pa.int64()), "items": pa.array(items, pa.list_(pa.string())), "spans": _span_array(_merged(hit, row, batch.num_rows))}
                     yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(c) for c in names], names=names)
 
         out = out.mapInArrow(run, out.select(names).schema)
@@ -251,29 +259,40 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, shar
 
     ``n_chars``, where there is such a column, is the new text's length.
     """
-    out = docs
-    for phrases in phrase_sets(benchmark, "item_id", "text", window, phrase_bytes):
-        # A cut joins words that were apart, so that each set is cut from what the one before has left.
+    spans = "__spans"
+    while spans in docs.columns:
+        spans += "_"
+    out = docs.withColumn(spans, F.array().cast("array<struct<first:int,last:int>>"))
+    at, held = docs.columns.index("text"), len(docs.columns)
+    sets = phrase_sets(benchmark, "item_id", "text", window, phrase_bytes)
+    for number, phrases in enumerate(sets, 1):
+        # Cut once, after the last set: a cut would break windows of later sets and join words that were apart.
         sent = docs.sparkSession.sparkContext.broadcast(phrases)
-        at = out.columns.index("text")
+        last = number == len(sets)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for batch in slices(whole, "text", shard_bytes):
                     starts, ends, row, hit, _ = scan(sent.value, batch.column("text"))
+                    base = np.searchsorted(row, np.arange(batch.num_rows))
+                    _mark(hit, base, batch.column(held))
+                    merged = _merged(hit, row, batch.num_rows)
+                    if not last:
+                        yield batch.set_column(held, spans, _span_array(merged))
+                        continue
                     texts = batch.column("text").to_pylist()
-                    base = np.searchsorted(row, np.arange(len(texts)))
                     data, offsets = text_bytes(batch.column("text"))
-                    for k, spans in enumerate(_merged(hit, row, len(texts))):
-                        if len(spans):
+                    for k, own in enumerate(merged):
+                        if len(own):
                             raw, done, kept = data[offsets[k] : offsets[k + 1]].tobytes(), 0, []
-                            for a, b in (spans + base[k]).tolist():
+                            for a, b in (own + base[k]).tolist():
                                 kept.append(raw[done : starts[a] - offsets[k]])
                                 done = ends[b] - offsets[k]
                             texts[k] = b"".join([*kept, raw[done:]]).decode()
-                    yield batch.set_column(at, "text", pa.array(texts, batch.schema.field("text").type))
+                    cut = batch.set_column(at, "text", pa.array(texts, batch.schema.field("text").type))
+                    yield cut.select(list(range(held)))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = out.mapInArrow(run, docs.schema if last else out.schema)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
