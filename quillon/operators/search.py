@@ -60,12 +60,14 @@ def first_of_file(rows: DataFrame, order: list[Column], file: str = "doc_id") ->
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, filters: Column | None = None) -> DataFrame:
     """The k vectors most similar to each query's, by exact cosine; filters apply before.
 
-    Up to 1000 queries are broadcast; more are joined as Spark sees fit. Each task keeps its own k best of a query before anything is
+    Queries are broadcast in blocks of about 1000, each against all vectors. Each task keeps its own k best of a query before anything is
     shuffled, since a window with a rank limit is cut down map-side.
     """
     v = vectors if filters is None else vectors.where(filters)
     asked = queries.select("query_id", F.col("embedding").alias("asked"))
-    pairs = v.join(F.broadcast(asked) if asked.limit(1001).count() <= 1000 else asked)
+    n = -(-asked.count() // 1000) or 1
+    block = F.pmod(F.xxhash64("query_id"), F.lit(n))
+    pairs = reduce(DataFrame.union, [v.join(F.broadcast(asked if n == 1 else asked.where(block == b))) for b in range(n)])
     rows = pairs.select("query_id", "vec_id", scores.similarity(F.col("embedding"), F.col("asked")).alias("score"))
     return ranked(rows, [F.desc("score"), F.asc("vec_id")], k)
 

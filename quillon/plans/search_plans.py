@@ -139,6 +139,16 @@ def _asking(spark: SparkSession, d: str, n: int) -> DataFrame:
     return table(spark, d, "embeddings").where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), "embedding")
 
 
+def _asking_50th(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector whose id is divisible by 50 as a query."""
+    return table(spark, d, "embeddings").where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def _each_50th(sql: str, n: int) -> str:
+    """``sql`` with every vector whose id is divisible by 50 as a query, instead of the first ``n``."""
+    return sql.replace(f"q.vec_id < {n} ", "q.vec_id % 50 = 0 ")
+
+
 def _vector_sql(n: int, k: int, where: str = "TRUE") -> str:
     return f"""v0 AS (SELECT q.vec_id AS query_id, v.vec_id, greatest(0, {COS}) AS score FROM embeddings v, embeddings q WHERE q.vec_id < {n} AND {where}),
   near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) - 1 AS rank FROM v0 QUALIFY rank < {k})"""
@@ -160,13 +170,21 @@ HYBRID_SQL = f"""WITH {_vector_sql(5, 50)}, k0 AS (SELECT q.query_id, doc_id, le
   lists AS (SELECT query_id, vec_id AS id, rank, 0.7 AS weight FROM near UNION ALL SELECT query_id, doc_id, rank, 0.3 FROM kw), rrf AS (SELECT query_id, id, sum(weight / (60 + rank)) / (1.0 / 60) AS rrf, count(*) AS lists FROM lists GROUP BY ALL)"""
 
 
+TERMS = [" the ", " de ", " und ", " of ", " la "]
+
+
 def _hybrid(spark: SparkSession, d: str) -> DataFrame:
-    near = search.nearest(_asking(spark, d, 5), table(spark, d, "embeddings"), 50).select("query_id", F.col("vec_id").alias("id"), "rank", F.lit(0.7).alias("weight"))
-    asked = spark.createDataFrame(list(enumerate([" the ", " de ", " und ", " of ", " la "])), "query_id long, term string")
+    return _fused(spark, d, _asking(spark, d, 5), spark.createDataFrame(list(enumerate(TERMS)), "query_id long, term string"))
+
+
+def _fused(spark: SparkSession, d: str, asking: DataFrame, asked: DataFrame) -> DataFrame:
+    """Both channels of the queries ``asking`` for vectors and ``asked`` for one of the five terms; a term is counted and ranked once."""
+    near = search.nearest(asking, table(spark, d, "embeddings"), 50).select("query_id", F.col("vec_id").alias("id"), "rank", F.lit(0.7).alias("weight"))
+    terms = spark.createDataFrame([(t,) for t in TERMS], "term string")
     count = F.size(F.split("text", F.col("term"), -1)) - 1
-    kw = table(spark, d, "documents").join(F.broadcast(asked)).select("query_id", "doc_id", count.alias("n")).where("n > 0")  # five rows
-    kw = search.ranked(kw, [F.desc("n"), F.asc("doc_id")], 50).select("query_id", F.col("doc_id").alias("id"), "rank", F.lit(0.3).alias("weight"))
-    return search.fused(near.union(kw))
+    kw = table(spark, d, "documents").join(F.broadcast(terms)).select(F.col("term").alias("query_id"), "doc_id", count.alias("n")).where("n > 0")  # five rows
+    kw = search.ranked(kw, [F.desc("n"), F.asc("doc_id")], 50).select(F.col("query_id").alias("term"), F.col("doc_id").alias("id"), "rank", F.lit(0.3).alias("weight"))
+    return search.fused(near.union(asked.join(F.broadcast(kw), "term").select("query_id", "id", "rank", "weight")))
 
 
 @query(HYBRID_SQL + " SELECT query_id::BIGINT AS query_id, id, round(rrf, 6) AS rrf, lists FROM rrf")
@@ -179,8 +197,8 @@ SCORED_SQL = HYBRID_SQL + f""", {FILES_SQL}, x AS (SELECT r.query_id, r.id, r.rr
     * (CASE WHEN contains(p, '/config') THEN 1.12 * 1.2 ELSE 1 END) * (CASE WHEN id % 10 = 1 THEN 1.15 WHEN id % 10 = 2 THEN 0.9 ELSE 1 END) * (CASE WHEN (id % 10) / 10.0 > 0.1 THEN 1 + 0.15 * (id % 10) / 10.0 ELSE 1 END) * (CASE WHEN id % 17 = 0 THEN 1.15 ELSE 1 END) AS score FROM x)"""
 
 
-def _scored(spark: SparkSession, d: str) -> DataFrame:
-    rows = _hybrid(spark, d).join(files(spark, d).select(F.col("doc_id").alias("id"), "path", "lang"), "id")
+def _scored(spark: SparkSession, d: str, fused: DataFrame) -> DataFrame:
+    rows = fused.join(files(spark, d).select(F.col("doc_id").alias("id"), "path", "lang"), "id")
     trend = F.when(F.col("id") % 10 == 1, "Rising").when(F.col("id") % 10 == 2, "Declining")
     by = search.multiplier(F.lit("module"), F.when(F.col("lang") == "en", "core").otherwise("unknown"), F.col("path"), F.lit("how to setup the config provider"), F.lit("CONFIG"), F.col("id") % 10 / 10, trend, F.col("id") % 17 == 0)
     return rows.withColumn("score", F.col("rrf") * by)
@@ -188,7 +206,7 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
 
 @query(SCORED_SQL + " SELECT query_id::BIGINT AS query_id, id, round(score, 9) AS score FROM m")
 def hybrid_scored(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(spark, d).select("query_id", "id", F.round("score", 9).alias("score"))
+    return _scored(spark, d, _hybrid(spark, d)).select("query_id", "id", F.round("score", 9).alias("score"))
 
 
 QUALITY_SQL = f"""WITH {_vector_sql(40, 5, "v.vec_id <> q.vec_id")}, t AS (SELECT query_id, max(score) AS top, min(score) AS third, max(score) FILTER (WHERE rank = 1) AS second, avg(score) AS average, avg((vec_id % 3 = 0)::INT) AS tests, count(*) AS n FROM near WHERE rank < 3 GROUP BY 1),
@@ -197,8 +215,8 @@ QUALITY_SQL = f"""WITH {_vector_sql(40, 5, "v.vec_id <> q.vec_id")}, t AS (SELEC
   judged AS (SELECT *, CASE WHEN signals >= 2 OR confidence < 0.35 THEN 'low_confidence' ELSE 'ok' END AS status FROM quality)"""
 
 
-def _quality(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    asked = _asking(spark, d, 40)
+def _quality(spark: SparkSession, d: str, asked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    asked = _asking(spark, d, 40) if asked is None else asked
     rows = search.nearest(asked, table(spark, d, "embeddings"), 6).where("query_id <> vec_id")
     rows = search.ranked(rows.drop("rank"), [F.desc("score"), F.asc("vec_id")], 5).withColumn("test", F.col("vec_id") % 3 == 0)
     return rows, search.quality(rows, asked.select("query_id", (F.col("query_id") % 2 == 0).alias("testing")))
@@ -214,21 +232,86 @@ def ambiguity_gate(spark: SparkSession, d: str) -> DataFrame:
     return search.ambiguous(_quality(spark, d)[0])
 
 
-@query(QUALITY_SQL + """, g AS (SELECT query_id, n >= 3 AND top - third < 0.08 AS a FROM judged)
-  SELECT query_id, vec_id, (row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN a THEN vec_id ELSE NULL END DESC NULLS LAST, rank) - 1)::INTEGER AS final_rank FROM near JOIN g USING (query_id)""")
+RERANKED_SQL = (
+    QUALITY_SQL + """, g AS (SELECT query_id, n >= 3 AND top - third < 0.08 AS a FROM judged)
+  SELECT query_id, vec_id, (row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN a THEN vec_id ELSE NULL END DESC NULLS LAST, rank) - 1)::INTEGER AS final_rank FROM near JOIN g USING (query_id)"""
+)
+
+
+@query(RERANKED_SQL)
 def rerank_gated(spark: SparkSession, d: str) -> DataFrame:
     rows, _ = _quality(spark, d)
     return search.reranked(rows, search.ambiguous(rows), lambda r: r["vec_id"].cast("double")).select("query_id", "vec_id", "final_rank")
 
 
-@query(QUALITY_SQL + """, b AS (SELECT query_id, CASE WHEN query_id % 3 = 0 THEN 'ok' ELSE 'low_confidence' END AS s2, query_id % 10 / 10.0 AS c2 FROM judged)
-  SELECT query_id, CASE WHEN status <> 'ok' AND (s2 = 'ok' OR c2 > confidence + 0.05) THEN 'second' ELSE 'first' END AS chosen FROM judged JOIN b USING (query_id)""")
-def second_pass_choice(spark: SparkSession, d: str) -> DataFrame:
-    first = _quality(spark, d)[1]
+SECOND_SQL = (
+    QUALITY_SQL + """, b AS (SELECT query_id, CASE WHEN query_id % 3 = 0 THEN 'ok' ELSE 'low_confidence' END AS s2, query_id % 10 / 10.0 AS c2 FROM judged)
+  SELECT query_id, CASE WHEN status <> 'ok' AND (s2 = 'ok' OR c2 > confidence + 0.05) THEN 'second' ELSE 'first' END AS chosen FROM judged JOIN b USING (query_id)"""
+)
+
+
+def _second_pass(first: DataFrame) -> DataFrame:
     second = first.select("query_id", F.when(F.col("query_id") % 3 == 0, "ok").otherwise("low_confidence").alias("status"), (F.col("query_id") % 10 / 10).alias("confidence"))
     return search.better_pass(first, second)
 
 
+@query(SECOND_SQL)
+def second_pass_choice(spark: SparkSession, d: str) -> DataFrame:
+    return _second_pass(_quality(spark, d)[1])
+
+
+#: The same searches, asked by every vector whose id is divisible by 50: as many queries as the table calls for.
+@query(_each_50th(f"WITH {_vector_sql(5, 10)} SELECT query_id, vec_id, round(score, 6) AS score, rank::INTEGER AS rank FROM near", 5))
+def vector_topk_each_50th(spark: SparkSession, d: str) -> DataFrame:
+    return search.nearest(_asking_50th(spark, d), table(spark, d, "embeddings"), 10).withColumn("score", F.round("score", 6))
+
+
+@query(_each_50th(f"WITH {_vector_sql(5, 10, 'v.label = 3')} SELECT query_id, vec_id, round(score, 6) AS score, rank::INTEGER AS rank FROM near", 5))
+def vector_topk_filtered_each_50th(spark: SparkSession, d: str) -> DataFrame:
+    return search.nearest(_asking_50th(spark, d), table(spark, d, "embeddings"), 10, F.col("label") == 3).withColumn("score", F.round("score", 6))
+
+
+_FIVE = "(SELECT unnest([0, 1, 2, 3, 4]) AS query_id, unnest([' the ', ' de ', ' und ', ' of ', ' la ']) AS term) q"
+_EACH = "(SELECT vec_id AS query_id, ([' the ', ' de ', ' und ', ' of ', ' la '])[(vec_id // 50 % 5 + 1)::INT] AS term FROM embeddings WHERE vec_id % 50 = 0) q"
+
+
+def _hybrid_50th(spark: SparkSession, d: str) -> DataFrame:
+    asking = _asking_50th(spark, d)
+    term = F.element_at(F.array(*map(F.lit, TERMS)), (F.floor(F.col("query_id") / 50) % 5 + 1).cast("int"))
+    return _fused(spark, d, asking, asking.select("query_id", term.alias("term")))
+
+
+@query(_each_50th(HYBRID_SQL, 5).replace(_FIVE, _EACH) + " SELECT query_id::BIGINT AS query_id, id, round(rrf, 6) AS rrf, lists FROM rrf")
+def hybrid_rrf_each_50th(spark: SparkSession, d: str) -> DataFrame:
+    return _hybrid_50th(spark, d).withColumn("rrf", F.round("rrf", 6))
+
+
+@query(_each_50th(SCORED_SQL, 5).replace(_FIVE, _EACH) + " SELECT query_id::BIGINT AS query_id, id, round(score, 9) AS score FROM m")
+def hybrid_scored_each_50th(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d, _hybrid_50th(spark, d)).select("query_id", "id", F.round("score", 9).alias("score"))
+
+
+@query(_each_50th(QUALITY_SQL, 40) + " SELECT query_id, signals, confidence, status FROM judged")
+def search_quality_each_50th(spark: SparkSession, d: str) -> DataFrame:
+    return _quality(spark, d, _asking_50th(spark, d))[1]
+
+
+@query(_each_50th(QUALITY_SQL, 40) + " SELECT query_id, n >= 3 AND top - third < 0.08 AS ambiguous FROM judged")
+def ambiguity_gate_each_50th(spark: SparkSession, d: str) -> DataFrame:
+    return search.ambiguous(_quality(spark, d, _asking_50th(spark, d))[0])
+
+
+@query(_each_50th(RERANKED_SQL, 40))
+def rerank_gated_each_50th(spark: SparkSession, d: str) -> DataFrame:
+    rows, _ = _quality(spark, d, _asking_50th(spark, d))
+    return search.reranked(rows, search.ambiguous(rows), lambda r: r["vec_id"].cast("double")).select("query_id", "vec_id", "final_rank")
+
+
+@query(_each_50th(SECOND_SQL, 40))
+def second_pass_choice_each_50th(spark: SparkSession, d: str) -> DataFrame:
+    return _second_pass(_quality(spark, d, _asking_50th(spark, d))[1])
+
+
 @query("""SELECT doc_id, CASE WHEN contains(lower(text), 'xie') OR contains(lower(text), 'blea') THEN 'Declining' WHEN contains(lower(text), 'tion') THEN 'Rising' ELSE 'Stable' END AS trend FROM documents""")
 def content_trend(spark: SparkSession, d: str) -> DataFrame:
     p = spark.createDataFrame([("Xie", "Declining"), ("blea", "Declining"), ("TION", "Rising"), ("a", "Stable")], "name string, trend string")
