@@ -128,6 +128,11 @@ def index_age(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", scores.index_age(F.col("ts"), F.lit("2024-01-20").cast("timestamp")).alias("age"))
 
 
+@query("""SELECT event_id, CASE WHEN date_diff('second', ts, TIMESTAMP '2024-01-20') < 86400 THEN 'fresh' WHEN date_diff('second', ts, TIMESTAMP '2024-01-20') < 604800 THEN 'aging' ELSE 'stale' END AS age FROM events""")
+def index_age_all(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", scores.index_age(F.col("ts"), F.lit("2024-01-20").cast("timestamp")).alias("age"))
+
+
 @query(f"""WITH c AS (SELECT {CODE_PATH} AS path, p_partkey, {CODE_TEXT} AS text FROM part) SELECT path, '// Part' || p_partkey || ' > size :: ' || left(array_to_string(list_filter(string_split(text, chr(10)), lambda x: x <> '')[1:3], ' '), 200) || chr(10) || text AS scoped FROM c""")
 def scoped_chunks(spark: SparkSession, d: str) -> DataFrame:
     owner = F.array(F.concat(F.lit("Part"), F.col("k").cast("string")), F.lit("size"))

@@ -26,3 +26,9 @@ def test_over_a_thousand_queries_are_joined_in_blocks(spark, small):
     assert "CartesianProduct" not in found._jdf.queryExecution().executedPlan().toString()
     got = found.groupBy("query_id").count().collect()
     assert len(got) == 1500 and {r["count"] for r in got} == {3}
+
+
+def test_every_event_has_an_age(spark, small):
+    events = spark.read.parquet(f"{small}/events.parquet")
+    got = catalog.QUERIES["index_age_all"](spark, small)
+    assert got.count() == events.count() and events.join(got.where("age is not null"), "event_id", "left_anti").isEmpty()
