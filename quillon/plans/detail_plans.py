@@ -122,6 +122,16 @@ def run_coverage(spark: SparkSession, d: str) -> DataFrame:
     return detail.complete_runs(r, ["t0", "t1", "t2", "t3"], ["click", "view"], 3)
 
 
+@query("""WITH r AS (SELECT CASE WHEN event_type IN ('click', 'view') THEN event_type ELSE 'other' END AS lane, 't' || (event_id % 5) AS task, (event_id // 40) % 30 AS k FROM events), u AS (SELECT lane, task, k AS repeat, count(*) AS n FROM r GROUP BY ALL),
+  p AS (SELECT * FROM (SELECT unnest(['click', 'view']) AS lane), (SELECT unnest(['t0', 't1', 't2', 't3']) AS task), (SELECT unnest([0, 1, 2]) AS repeat))
+  SELECT coalesce(p.lane, u.lane) AS lane, coalesce(p.task, u.task) AS task, coalesce(p.repeat, u.repeat)::INTEGER AS repeat, CASE WHEN p.lane IS NULL THEN 'unplanned' WHEN u.n IS NULL THEN 'missing' ELSE 'repeated' END AS problem
+  FROM p FULL JOIN u ON p.lane = u.lane AND p.task = u.task AND p.repeat = u.repeat WHERE p.lane IS NULL OR u.n IS NULL OR u.n > 1""")
+def run_coverage_all(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    r = e.select(F.when(F.col("event_type").isin("click", "view"), F.col("event_type")).otherwise("other").alias("lane"), F.concat(F.lit("t"), (F.col("event_id") % 5).cast("string")).alias("task"), (F.floor(F.col("event_id") / 40) % 30).cast("int").alias("repeat"))
+    return detail.complete_runs(r, ["t0", "t1", "t2", "t3"], ["click", "view"], 3)
+
+
 @query("""SELECT event_id, CASE WHEN date_diff('second', ts, TIMESTAMP '2024-01-20') < 86400 THEN 'fresh' WHEN date_diff('second', ts, TIMESTAMP '2024-01-20') < 604800 THEN 'aging' ELSE 'stale' END AS age FROM events WHERE event_id % 3 = 0""")
 def index_age(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").where("event_id % 3 = 0")

@@ -32,3 +32,12 @@ def test_every_event_has_an_age(spark, small):
     events = spark.read.parquet(f"{small}/events.parquet")
     got = catalog.QUERIES["index_age_all"](spark, small)
     assert got.count() == events.count() and events.join(got.where("age is not null"), "event_id", "left_anti").isEmpty()
+
+
+def test_all_events_are_runs(spark, small):
+    events = spark.read.parquet(f"{small}/events.parquet")
+    got = catalog.QUERIES["run_coverage_all"](spark, small)
+    lane = F.when(F.col("event_type").isin("click", "view"), F.col("event_type")).otherwise("other")
+    there = events.select(lane.alias("lane"), F.concat(F.lit("t"), (F.col("event_id") % 5).cast("string")).alias("task"), (F.floor(F.col("event_id") / 40) % 30).cast("int").alias("repeat")).distinct()
+    late = there.where("repeat >= 4")
+    assert late.count() > 0 and late.join(got.where("problem = 'unplanned'"), ["lane", "task", "repeat"], "left_anti").isEmpty()
