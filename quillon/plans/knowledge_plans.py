@@ -68,6 +68,15 @@ def canonical_example(spark: SparkSession, d: str) -> DataFrame:
     return patterns.canonical_examples(docs.select(F.col("lang").alias("category"), F.col("source").alias("name"), F.col("doc_id").alias("seq"), F.concat(folder, "source").alias("file"), F.substring("text", 1, 400).alias("snippet")))
 
 
+@query("""WITH e AS (SELECT lang AS category, source AS name, doc_id AS seq, CASE WHEN doc_id % 3 = 0 THEN 'core/' ELSE 'app/' END || source AS file, text AS snippet, doc_id % 3 = 0 AS prior FROM documents),
+  g AS (SELECT category, name, prior, arg_min({'f': file, 's': snippet}, seq) AS a, arg_min({'f': file, 's': snippet}, seq) FILTER (WHERE length(snippet) BETWEEN 51 AND 200) AS b, arg_min({'f': file, 's': snippet}, {'l': length(snippet), 'q': seq}) FILTER (WHERE length(snippet) > 200) AS c FROM e GROUP BY ALL),
+  k AS (SELECT category, name, prior, CASE WHEN length(a.s) <= 200 THEN a ELSE coalesce(b, c) END AS x FROM g) SELECT category, name, x.f AS file, x.s AS snippet FROM k QUALIFY row_number() OVER (PARTITION BY category, name ORDER BY prior DESC) = 1""")
+def canonical_example_whole(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    folder = F.when(F.col("doc_id") % 3 == 0, "core/").otherwise("app/")
+    return patterns.canonical_examples(docs.select(F.col("lang").alias("category"), F.col("source").alias("name"), F.col("doc_id").alias("seq"), F.concat(folder, "source").alias("file"), F.col("text").alias("snippet")))
+
+
 @query(P + """ SELECT file, count(DISTINCT category) AS categories, count(DISTINCT (category, name)) AS score FROM observed GROUP BY file HAVING count(DISTINCT category) >= 2 ORDER BY score DESC, file LIMIT 5""")
 def golden_files(spark: SparkSession, d: str) -> DataFrame:
     return patterns.golden_files(observations(spark, d))

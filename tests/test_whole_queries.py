@@ -41,3 +41,11 @@ def test_all_events_are_runs(spark, small):
     there = events.select(lane.alias("lane"), F.concat(F.lit("t"), (F.col("event_id") % 5).cast("string")).alias("task"), (F.floor(F.col("event_id") / 40) % 30).cast("int").alias("repeat")).distinct()
     late = there.where("repeat >= 4")
     assert late.count() > 0 and late.join(got.where("problem = 'unplanned'"), ["lane", "task", "repeat"], "left_anti").isEmpty()
+
+
+def test_examples_are_whole_texts(spark, small):
+    texts = {r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    got = [r.snippet for r in catalog.QUERIES["canonical_example_whole"](spark, small).collect()]
+    assert got and all(s in texts for s in got)
+    cut = [r.snippet for r in catalog.QUERIES["canonical_example"](spark, small).collect()]
+    assert max(map(len, cut)) == 400 < max(map(len, got))
