@@ -97,6 +97,15 @@ def impact_2hop(spark: SparkSession, d: str) -> DataFrame:
     return graph.impact(edges(spark, d), spark.createDataFrame([(1,), (2,), (3,)], "node long"))
 
 
+@query(E + """, one AS (SELECT dst AS target, src AS file, 1 AS hop FROM edges),
+  two AS (SELECT o.target, e.src AS file, 2 AS hop FROM one o JOIN edges e ON e.dst = o.file),
+  best AS (SELECT target, file, min(hop) AS hop FROM (SELECT * FROM one UNION ALL SELECT * FROM two) WHERE file <> target GROUP BY ALL),
+  k AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY hop, file)::INTEGER AS place FROM best) SELECT * FROM k WHERE place <= 20""")
+def impact_2hop_all(spark: SparkSession, d: str) -> DataFrame:
+    e = edges(spark, d)
+    return graph.impact(e, e.select(F.col("dst").alias("node")).distinct())
+
+
 @query(S + """, a AS (SELECT src AS start, 1 AS hops, [src, dst] AS path FROM sparse),
   b AS (SELECT start, 2 AS hops, list_append(path, dst) AS path FROM a JOIN sparse ON src = path[2] WHERE NOT list_contains(path, dst)),
   c AS (SELECT start, 3 AS hops, list_append(path, dst) AS path FROM b JOIN sparse ON src = path[3] WHERE NOT list_contains(path, dst))

@@ -92,6 +92,13 @@ def camel_words(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").where(~F.col("p_name").endswith("s")).select("p_partkey", name.alias("name"), F.array_join(F.regexp_extract_all(spaced, F.lit("([a-zA-Z0-9]+)"), 1), " ").alias("words"))
 
 
+@query(r"""SELECT p_partkey, p_name || 'XMLParserTest' || p_size AS name, array_to_string(regexp_extract_all(regexp_replace(regexp_replace(p_name || 'XMLParserTest' || p_size, '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '([a-z0-9])([A-Z])', '\1 \2', 'g'), '[a-zA-Z0-9]+'), ' ') AS words FROM part""")
+def camel_words_all(spark: SparkSession, d: str) -> DataFrame:
+    name = F.concat("p_name", F.lit("XMLParserTest"), F.col("p_size").cast("string"))
+    spaced = F.regexp_replace(F.regexp_replace(name, "([A-Z]+)([A-Z][a-z])", "$1 $2"), "([a-z0-9])([A-Z])", "$1 $2")
+    return table(spark, d, "part").select("p_partkey", name.alias("name"), F.array_join(F.regexp_extract_all(spaced, F.lit("([a-zA-Z0-9]+)"), 1), " ").alias("words"))
+
+
 @query(f"""WITH {FILES_SQL}, q AS (SELECT DISTINCT 'src' AS a), f AS (SELECT path, lower(regexp_extract(path, '[^/]+$')) AS base FROM files)
   SELECT path, CASE WHEN contains('open en21.ts or src3/docs', base) THEN 2 WHEN contains('open en21.ts or src3/docs', regexp_replace(base, '\\.[^.]*$', '')) THEN 1 ELSE 0 END::INTEGER AS strength,
     len(list_filter({terms_sql('path')}, lambda t: t IN ('open', 'en21', 'src3', 'docs')))::INTEGER AS overlap FROM f""")
@@ -341,6 +348,13 @@ def union_first(spark: SparkSession, d: str) -> DataFrame:
     return search.union_first([x.where("id % 3 = 0"), x.where("id % 2 = 0")])
 
 
+@query("""WITH a AS (SELECT lang AS query_id, doc_id AS id FROM documents WHERE doc_id % 3 = 0), b AS (SELECT lang AS query_id, doc_id AS id FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 2 = 0), u AS (SELECT *, 0 AS source FROM a UNION ALL SELECT *, 1 FROM b)
+  SELECT query_id, id, min(source)::INTEGER AS source FROM u GROUP BY ALL""")
+def union_first_all(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "documents").select(F.col("lang").alias("query_id"), F.col("doc_id").alias("id"))
+    return search.union_first([x.where("id % 3 = 0"), x.where("id % 3 <> 0 or id % 2 = 0")])
+
+
 LOCK_SQL = """WITH t AS (SELECT item_id AS task, item_id % 5 AS results, item_id % 3 AS patterns, item_id % 4 AS notes, item_id % 6 AS stale_notes, (item_id % 7 = 0)::INT AS failures, item_id % 4 AS conflicts, item_id % 9 AS callers, item_id % 2 AS covered,
     CASE WHEN item_id % 8 = 1 THEN 'low_confidence' ELSE 'ok' END AS quality, (['fresh', 'aging', 'stale', 'fresh', 'fresh'])[(item_id % 5 + 1)::INT] AS age FROM benchmark),
   s AS (SELECT *, CASE WHEN results >= 3 THEN 1.0 WHEN results > 0 THEN 0.5 ELSE 0.0 END AS code, CASE WHEN patterns >= 2 THEN 1.0 WHEN patterns = 1 THEN 0.5 ELSE 0.0 END AS pattern, CASE WHEN notes >= 2 OR failures > 0 THEN 1.0 WHEN notes = 1 THEN 0.5 ELSE 0.0 END AS note FROM t),

@@ -49,3 +49,10 @@ def test_examples_are_whole_texts(spark, small):
     assert got and all(s in texts for s in got)
     cut = [r.snippet for r in catalog.QUERIES["canonical_example"](spark, small).collect()]
     assert max(map(len, cut)) == 400 < max(map(len, got))
+
+
+def test_every_part_is_split_every_document_listed_and_every_node_a_target(spark, small):
+    ids = lambda name, c, d=small: {r[0] for r in catalog.QUERIES[name](spark, d).select(c).collect()}
+    assert ids("camel_words_all", "p_partkey") == {r[0] for r in spark.read.parquet(f"{small}/part.parquet").select("p_partkey").collect()}
+    assert ids("union_first_all", "id") == {r[0] for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id").collect()}
+    assert ids("impact_2hop_all", "target") == ids("preflight_risk", "target")
