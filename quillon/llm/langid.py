@@ -1,9 +1,13 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads a text's bytes in windows, forwards and backwards, labels every position with a distribution over
-languages, and the document's distribution is the mean over all positions of the whole text.  It is trained in numpy by
-backpropagation through time, on the driver, from a bounded sample: up to ``SAMPLE`` documents, ``EXCERPT`` characters of each from a
-place that a hash of its id gives.  Scoring steps through many windows side by side, with one matrix product a step.
+The network reads a whole text's bytes forwards and backwards, labels every position with a distribution over
+languages, and the document's distribution is the mean over all positions.  It is trained in numpy by
+backpropagation through time, on the driver, from the whole texts of a bounded sample of at most ``SAMPLE`` documents.
+
+Texts are laid out as windows that are stepped through side by side, with one matrix product a step.  A window begins
+with the state that the one read before it ends with: all windows are first read from nothing, then those whose beginning has changed
+are read again until their states agree with the earlier reading to within ``AGREED``, round after round until nothing changes.  That
+gives the states of one reading from end to end.  In training, gradients stop at the borders of windows, states don't.
 
 Defined cases: texts that are null, empty or without letters are ``und`` with score 0; documents without a language are not learned from
 but are predicted; without any to learn from all are ``und``; repeated rows each get their row; an empty table gives no rows;
@@ -24,10 +28,20 @@ from pyspark.sql import functions as F
 from quillon.llm.common import arrow, first_by_hash, slices, text_bytes
 from quillon.llm.quality import held_out
 
-SAMPLE = 2400
-EXCERPT = 384
-WINDOW = 96
+#: Documents that are learned from, at most; all of their text is.
+SAMPLE = 600
+#: Bytes of a window in scoring, and in training, where gradients go no further back.
+WINDOW = 256
+STRETCH = 64
 HIDDEN = 8
+#: The most of a state that an update gate carries on to the next position, so that what two readings began with is forgotten geometrically.
+CARRY = 0.75
+#: The most that the absolute weights of a candidate on the earlier states add up to, so that no state holds itself up for ever.
+ECHO = 0.6
+#: Difference below which two readings of a position are the same.
+AGREED = 1e-4
+#: Windows that are held at once.
+BLOCK = 2048
 LETTER = regex.compile(r"\p{L}")
 _ASCII = np.zeros(256, bool)
 _ASCII[[*range(65, 91), *range(97, 123)]] = True
@@ -40,32 +54,68 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
-def _gru(table: np.ndarray, gates: np.ndarray, cand: np.ndarray, x: np.ndarray, mask: np.ndarray, order: range, keep: list | None = None) -> np.ndarray:
-    """States after each position.  ``table`` holds what each byte adds to reset, update and candidate, a row each; features come first in all arrays."""
-    length, n = x.shape
+def _step(table: np.ndarray, gates: np.ndarray, cand: np.ndarray, x: np.ndarray, mask: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
+    """States after one position.  ``table`` holds what each byte adds to reset, update and candidate, a row each; features come first in all arrays."""
     size = cand.shape[0]
-    states = np.empty((length, size, n), np.float32)
-    h = np.zeros((size, n), np.float32)
+    g = table[:, x]
+    a = gates @ h
+    a += g[: 2 * size]
+    _sigmoid(a)
+    a[size:] *= CARRY
+    r, z = a[:size], a[size:]
+    rh = r * h
+    c = cand @ rh
+    c += g[2 * size :]
+    np.tanh(c, out=c)
+    new = h - c
+    new *= z
+    new += c
+    new *= mask
+    if keep is not None:
+        keep.append((h, r, z, rh, c))
+    return new
+
+
+def _gru(table: np.ndarray, gates: np.ndarray, cand: np.ndarray, x: np.ndarray, mask: np.ndarray, order: range, h: np.ndarray | None = None, keep: list | None = None) -> np.ndarray:
+    """States after each position, from the states ``h``, nothing by default."""
+    length, n = x.shape
+    states = np.empty((length, cand.shape[0], n), np.float32)
+    h = np.zeros((cand.shape[0], n), np.float32) if h is None else h
     for t in order:
-        g = np.take(table, x[t], axis=1)
-        a = gates @ h
-        a += g[: 2 * size]
-        _sigmoid(a)
-        r, z = a[:size], a[size:]
-        rh = r * h
-        c = cand @ rh
-        c += g[2 * size :]
-        np.tanh(c, out=c)
-        new = h - c
-        new *= z
-        new += c
-        new *= mask[t]
-        if keep is not None:
-            keep.append((t, h, r, z, rh, c))
-        h = states[t] = new
+        h = states[t] = _step(table, gates, cand, x[t], mask[t], h, keep)
     return states
 
 
+def _reading(w: dict[str, np.ndarray], d: str, x: np.ndarray, mask: np.ndarray, before: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """States at all positions of windows, and those they begin with; ``before`` is the window read before each, or -1 for those that begin with ``edge``."""
+    part = w[f"table_{d}"], w[f"gates_{d}"], w[f"cand_{d}"]
+    order = range(len(x)) if d == "f" else range(len(x) - 1, -1, -1)
+    begin = np.where(before < 0, edge, np.float32(0))
+    states = _gru(*part, x, mask, order, begin)
+    last = states[order[-1]]
+    after = np.full(len(before), -1)
+    after[before[before >= 0]] = np.flatnonzero(before >= 0)
+    todo = np.flatnonzero(before >= 0)
+    while len(todo):
+        now = last[:, before[todo]]
+        moved = np.abs(now - begin[:, todo]).max(axis=0) > AGREED
+        todo, h = todo[moved], now[:, moved]
+        begin[:, todo] = h
+        for k, t in enumerate(order):
+            if not len(todo):
+                break
+            h = _step(*part, x[t, todo], mask[t, todo], h)
+            if k % 8 == 7:
+                apart = np.abs(h - states[t][:, todo]).max(axis=0) > AGREED
+                states[t][:, todo] = h
+                todo, h = todo[apart], h[:, apart]
+            else:
+                states[t][:, todo] = h
+        todo = after[todo]
+        todo = todo[todo >= 0]
+    return states, begin
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     z -= z.max(axis=-2, keepdims=True)
     np.exp(z, out=z)
@@ -73,44 +123,82 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z
 
 
+class Windows:
+    """Where the windows of all texts lie; those of one text are neighbours."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, width: int):
+        count = -(-np.diff(offsets) // width)
+        self.data, self.width = data, width
+        self.row = np.repeat(np.arange(len(count)), count)
+        nth = np.arange(len(self.row)) - np.repeat(np.cumsum(count) - count, count)
+        self.start = offsets[self.row] + nth * width
+        self.size = np.minimum(width, offsets[self.row + 1] - self.start)
+        self.continues = nth > 0
+
+    def bytes_of(self, at: slice | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes and mask, positions first."""
+        spot = np.arange(self.width)[:, None]
+        mask = spot < self.size[at]
+        return self.data[np.where(mask, self.start[at] + spot, 0)], mask.astype(np.float32)
+
+    def read(self, w: dict[str, np.ndarray], block: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray, tuple, tuple]]:
+        """``(windows, bytes, mask, (states, beginnings) forwards, (states, beginnings) backwards)``, block by block.
+
+        Where a text goes on in the next block, what the network has read backwards up to there is found first; only its
+        state at each border is kept.
+        """
+        n, size = len(self.row), w["cand_f"].shape[0]
+        blocks = [slice(at, min(at + block, n)) for at in range(0, n, block)]
+        border = [np.zeros(size, np.float32)] * (len(blocks) + 1)
+        for k in range(len(blocks) - 1, 0, -1):
+            if self.continues[blocks[k].start]:
+                own = np.arange(blocks[k].start, blocks[k].stop)
+                own = own[self.row[own] == self.row[own[0]]]
+                x, mask = self.bytes_of(own)
+                before = np.r_[np.arange(1, len(own)), -1]
+                goes_on = own[-1] + 1 < n and self.continues[own[-1] + 1]
+                border[k] = _reading(w, "b", x, mask, before, self._edge(len(own), -1, border[k + 1] if goes_on else None, size))[0][0][:, 0]
+        ahead = None
+        for k, at in enumerate(blocks):
+            x, mask = self.bytes_of(at)
+            number = np.arange(at.stop - at.start)
+            goes_on = np.r_[self.continues[at.start + 1 : at.stop], at.stop < n and self.continues[at.stop]]
+            inner = goes_on.copy()
+            inner[-1] = False
+            forwards = _reading(w, "f", x, mask, np.where(np.r_[False, self.continues[at.start + 1 : at.stop]], number - 1, -1), self._edge(len(number), 0, ahead if self.continues[at.start] else None, size))
+            backwards = _reading(w, "b", x, mask, np.where(inner, number + 1, -1), self._edge(len(number), -1, border[k + 1] if goes_on[-1] else None, size))
+            ahead = forwards[0][-1][:, -1]
+            yield at, x, mask, forwards, backwards
+
+    @staticmethod
+    def _edge(n: int, at: int, state: np.ndarray | None, size: int) -> np.ndarray:
+        edge = np.zeros((size, n), np.float32)
+        if state is not None:
+            edge[:, at] = state
+        return edge
+
+
 @dataclass
 class Model:
     langs: list[str]
     weights: dict[str, np.ndarray]
 
-    def windows(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        """Sums of the distributions at the positions of each window; ``x`` and ``mask`` have positions first."""
-        w, length = self.weights, len(x)
-        total = np.zeros((len(self.langs), x.shape[1]), np.float32)
-        ahead = _gru(w["table_f"], w["gates_f"], w["cand_f"], x, mask, range(length))
-        back = _gru(w["table_b"], w["gates_b"], w["cand_b"], x, mask, range(length - 1, -1, -1))
-        for t in range(length):
-            z = w["out_f"] @ ahead[t]
-            z += w["out_b"] @ back[t]
-            z += w["bias"]
-            z = _softmax(z)
-            z *= mask[t]
-            total += z
-        return total
-
-    def pooled(self, data: np.ndarray, offsets: np.ndarray, block: int = 8192) -> np.ndarray:
+    def pooled(self, data: np.ndarray, offsets: np.ndarray, block: int = BLOCK) -> np.ndarray:
         """The mean distribution over all positions of each text, 0 for empty ones."""
-        size = np.diff(offsets)
-        count = -(-size // WINDOW)
-        row = np.repeat(np.arange(len(size)), count)
-        nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        start = offsets[row] + nth * WINDOW
-        n = np.minimum(WINDOW, offsets[row + 1] - start)
-        out = np.zeros((len(size), len(self.langs)))
-        for at in range(0, len(row), block):
-            s, k = start[at : at + block], n[at : at + block]
-            spot = np.arange(WINDOW)[:, None]
-            mask = spot < k
-            x = data[np.where(mask, s + spot, 0)]
-            part = self.windows(x, mask.astype(np.float32))
+        w, laid = self.weights, Windows(data, offsets, WINDOW)
+        out = np.zeros((len(offsets) - 1, len(self.langs)))
+        for at, x, mask, (ahead, _), (back, _) in laid.read(w, block):
+            total = np.zeros((len(self.langs), x.shape[1]), np.float32)
+            for t in range(WINDOW):
+                z = w["out_f"] @ ahead[t]
+                z += w["out_b"] @ back[t]
+                z += w["bias"]
+                z = _softmax(z)
+                z *= mask[t]
+                total += z
             for c in range(len(self.langs)):
-                out[:, c] += np.bincount(row[at : at + block], part[c], len(size))
-        return out / np.maximum(size, 1)[:, None]
+                out[:, c] += np.bincount(laid.row[at], total[c], len(out))
+        return out / np.maximum(np.diff(offsets), 1)[:, None]
 
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
         data, offsets = text_bytes(column)
@@ -124,19 +212,16 @@ class Model:
         return [self.langs[b] if k else "und" for b, k in zip(best, known)], np.where(known, p[np.arange(len(p)), best], 0.0)
 
 
-def train(texts: list[bytes], langs: list[str], hidden: int = HIDDEN, epochs: int = 3, batch: int = 96, rate: float = 0.015, seed: int = 5) -> Model:
-    """Backpropagation through time over windows of the texts, with Adam steps."""
+def train(texts: list[bytes], langs: list[str], hidden: int = HIDDEN, epochs: int = 3, batch: int = 384, rate: float = 0.015, seed: int = 5) -> Model:
+    """Backpropagation through time over the windows of whole texts, which begin with the states of the epoch's start; Adam steps."""
     names = sorted(set(langs))
     if not names:
         return Model(["und"], {k: np.zeros(s, np.float32) for k, s in (("table_f", (3, 256)), ("table_b", (3, 256)), ("gates_f", (2, 1)), ("gates_b", (2, 1)), ("cand_f", (1, 1)), ("cand_b", (1, 1)), ("out_f", (1, 1)), ("out_b", (1, 1)), ("bias", (1, 1)))})
     rng = np.random.default_rng(seed)
-    windows = [(t[s : s + WINDOW], names.index(g)) for t, g in zip(texts, langs) for s in range(0, len(t), WINDOW)]
-    x = np.zeros((WINDOW, len(windows)), np.uint8)
-    mask = np.zeros((WINDOW, len(windows)), np.float32)
-    for k, (w, _) in enumerate(windows):
-        x[: len(w), k] = np.frombuffer(w, np.uint8)
-        mask[: len(w), k] = 1
-    y = np.array([g for _, g in windows])
+    size = np.array([len(t) for t in texts], np.int64)
+    laid = Windows(np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum(size)], STRETCH)
+    n = len(laid.row)
+    y = np.array([names.index(g) for g in langs])[laid.row]
 
     def start(*shape: int) -> np.ndarray:
         return (rng.standard_normal(shape) / np.sqrt(shape[1] if shape[1] != 256 else 4)).astype(np.float32)
@@ -146,12 +231,16 @@ def train(texts: list[bytes], langs: list[str], hidden: int = HIDDEN, epochs: in
         w |= {f"table_{d}": start(3 * hidden, 256), f"gates_{d}": start(2 * hidden, hidden), f"cand_{d}": start(hidden, hidden), f"out_{d}": start(len(names), hidden)}
     w["bias"] = np.zeros((len(names), 1), np.float32)
     m1, m2, step = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}, 0
-    total = epochs * -(-len(windows) // batch)
-    for _ in range(epochs):
-        order = rng.permutation(len(windows))
-        for at in range(0, len(order), batch):
+    total = epochs * -(-n // batch)
+    for epoch in range(epochs):
+        begin = [np.zeros((hidden, n), np.float32) for _ in "fb"]
+        if epoch:
+            for at, _, _, (_, ahead), (_, back) in laid.read(w, 4 * BLOCK):
+                begin[0][:, at], begin[1][:, at] = ahead, back
+        order = rng.permutation(n)
+        for at in range(0, n, batch):
             own = order[at : at + batch]
-            grads = _gradients(w, x[:, own], mask[:, own], y[own])
+            grads = _gradients(w, *laid.bytes_of(own), y[own], begin[0][:, own], begin[1][:, own])
             step += 1
             lr = rate * min(1, step / 20) * (1 - step / (total + 1))
             for k, g in grads.items():
@@ -159,14 +248,16 @@ def train(texts: list[bytes], langs: list[str], hidden: int = HIDDEN, epochs: in
                 m1[k] += 0.1 * (g - m1[k])
                 m2[k] += 0.01 * (g * g - m2[k])
                 w[k] -= lr * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-6)
+            for d in "fb":
+                w[f"cand_{d}"] *= np.minimum(1, ECHO / np.abs(w[f"cand_{d}"]).sum(axis=1, keepdims=True))
     return Model(names, w)
 
 
-def _gradients(w: dict[str, np.ndarray], x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-    """Gradients of the mean cross-entropy over all positions."""
+def _gradients(w: dict[str, np.ndarray], x: np.ndarray, mask: np.ndarray, y: np.ndarray, ahead: np.ndarray | None = None, back: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """Gradients of the mean cross-entropy over all positions of windows that begin with the states ``ahead`` and ``back``."""
     length = len(x)
     tape: dict[str, list] = {"f": [], "b": []}
-    states = {"f": _gru(w["table_f"], w["gates_f"], w["cand_f"], x, mask, range(length), tape["f"]), "b": _gru(w["table_b"], w["gates_b"], w["cand_b"], x, mask, range(length - 1, -1, -1), tape["b"])}
+    states = {"f": _gru(w["table_f"], w["gates_f"], w["cand_f"], x, mask, range(length), ahead, tape["f"]), "b": _gru(w["table_b"], w["gates_b"], w["cand_b"], x, mask, range(length - 1, -1, -1), back, tape["b"])}
     p = _softmax(w["out_f"] @ states["f"] + w["out_b"] @ states["b"] + w["bias"])
     p[:, y, np.arange(len(y))] -= 1
     p *= (mask / mask.sum())[:, None, :]
@@ -179,12 +270,13 @@ def _gradients(w: dict[str, np.ndarray], x: np.ndarray, mask: np.ndarray, y: np.
         dg, dc = np.zeros_like(gates), np.zeros_like(cand)
         into = np.empty((length, 3 * size, x.shape[1]), np.float32)
         later = np.zeros((size, x.shape[1]), np.float32)
-        for t, h, r, z, rh, c in reversed(tape[d]):
+        order = range(length) if d == "f" else range(length - 1, -1, -1)
+        for t, (h, r, z, rh, c) in zip(reversed(order), reversed(tape[d])):
             dh = (outer[t] + later) * mask[t]
             da = dh * (1 - z) * (1 - c * c)
             drh = cand.T @ da
             dc += da @ rh.T
-            dz = dh * (h - c) * z * (1 - z)
+            dz = dh * (h - c) * z * (1 - z / CARRY)
             dr = drh * h * r * (1 - r)
             both = np.concatenate([dr, dz])
             dg += both @ h.T
@@ -196,14 +288,12 @@ def _gradients(w: dict[str, np.ndarray], x: np.ndarray, mask: np.ndarray, y: np.
     return grads
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, excerpt: int = EXCERPT) -> Model:
-    """Learn from the documents, not held out, that come first by a hash of their id."""
-    place = F.xxhash64("doc_id")
-    start = F.pmod(place, F.greatest(F.char_length("text") - excerpt + 1, F.lit(1))).cast("int") + 1
+def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
+    """Learn from the whole texts of the ``sample`` documents, not held out, that come first by a hash of their id."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    rows = rows.select(place.alias("place"), "lang", F.coalesce(F.substring("text", start, F.lit(excerpt)), F.lit("")).alias("part"))
-    got = [r for r in first_by_hash(rows, "place", sample, "lang", "part").collect() if r.part]
-    return train([r.part.encode() for r in got], [r.lang for r in got])
+    rows = rows.select(F.xxhash64("doc_id").alias("place"), "lang", F.coalesce("text", F.lit("")).alias("whole"))
+    got = [r for r in first_by_hash(rows, "place", sample, "lang", "whole").collect() if r.whole]
+    return train([r.whole.encode() for r in got], [r.lang for r in got])
 
 
 def predicted(docs: DataFrame, model: Model) -> DataFrame:
