@@ -4,10 +4,11 @@ A document is the mean of learned vectors for its features, hashed to ``2 ** BIT
 (a word that repeats the one before it is one feature of its own, whichever word it is) and the 3- and 4-byte n-grams of its
 words with their borders.  A softmax over the mean gives the class.  Vectors and output are trained together by
 stochastic gradient descent in numpy, on the driver, from a bounded sample of labelled rows; whole texts are used.
-Scoring is one pass: the output applied to every vector beforehand leaves one number a bucket.
+Scoring is one pass: the output applied to every vector beforehand leaves one number a bucket.  What the driver gathers is bounded by
+the sample: each example is at most ``2 ** BITS`` buckets and shares, whatever its text's length and however often its rows repeat.
 
-Defined cases: null and empty texts have no features and score as the model's bias; labels that are null are not learned from; rows of
-``labels`` that repeat are examples each; without labels, or with one class only, all scores are that class's share (0.5 without any);
+Defined cases: null and empty texts have no features and score as the model's bias; labels that are null are not learned from; rows that
+repeat, in either table, are one example, and of different texts with one id the smallest is learned from; without labels, or with one class only, all scores are that class's share (0.5 without any);
 an empty table gives no rows; further columns pass or are ignored.
 """
 
@@ -118,6 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample:
     known = known.where(~held_out(F.col("label_id"))).withColumn("place", F.xxhash64("label_id"))
     chosen = first_by_hash(known, "place", sample, "label_id", "y")  # bounded, so that it may be broadcast
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
+    rows = rows.groupBy("place", "label_id", "y").agg(F.min("text").alias("text"))
     schema = pa.schema([("place", pa.int64()), ("y", pa.int32()), ("bucket", pa.binary()), ("share", pa.binary())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,12 +129,12 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample:
                 got = [b for b, _ in features(batch.column("text").slice(k, 1))]
                 b, n = np.unique(np.concatenate(got), return_counts=True) if got else (np.zeros(0, np.int64), np.zeros(0))
                 bucket.append(b.astype(np.uint16).tobytes())
-                share.append((n / max(n.sum(), 1)).astype(np.float16).tobytes())
+                share.append((n / max(n.sum(), 1)).astype(np.float32).tobytes())
             yield arrow(schema, place=batch.column("place"), y=batch.column("y"), bucket=bucket, share=share)
 
     got = rows.select("place", "y", "text").mapInArrow(count, "place long, y int, bucket binary, share binary").toArrow()
     got = got.sort_by([("place", "ascending"), ("y", "ascending"), ("bucket", "ascending")])
-    return train([(r["y"], np.frombuffer(r["bucket"], np.uint16).astype(np.int64), np.frombuffer(r["share"], np.float16).astype(np.float32)) for b in got.to_batches(256) for r in b.to_pylist()])
+    return train([(r["y"], np.frombuffer(r["bucket"], np.uint16).astype(np.int64), np.frombuffer(r["share"], np.float32)) for b in got.to_batches(256) for r in b.to_pylist()])
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", least: float | None = None) -> DataFrame:
