@@ -3,8 +3,8 @@
 Five segments form a ring.  If two fingerprints differ in at most four bits, some segment starts a chain of
 consecutive segments whose running differences stay within 0.8 bits a segment: the first is equal, the first two
 differ in at most one bit, the first three in at most two.  The index keys hold the first segment and those
-halves of the next two that such a chain must leave equal: 26 bits, five keys for each start.  Pairs that share a key pass
-the chain test before the full Hamming distance is taken.  No link within the distance is lost.
+halves of the next two that such a chain must leave equal: 26 bits, five keys for each start.  All pairs that are looked at, in
+runs of any length, pass the chain test before the full Hamming distance is taken.  No link within the distance is lost.
 
 Defined cases: null or empty text and text without words have fingerprint zero, and link like any other; repeated
 rows and equal fingerprints form one class and are compared once; null doc_ids keep a fingerprint and take part in no link;
@@ -83,20 +83,31 @@ def ring_keys(fp: np.ndarray) -> np.ndarray:
 
 def chain(x: np.ndarray, start: np.ndarray, distance: int) -> np.ndarray:
     """Whether the running differences from segment ``start`` stay within their share of ``distance``."""
-    ok, total = np.ones(len(x), bool), np.zeros(len(x), np.int64)
+    ok, total = np.ones(x.shape, bool), np.zeros(x.shape, np.int64)
     for step in range(5):
         j = (start + step) % 5
-        part = (x >> EDGES[j].astype(U64)) & ((U64(1) << WIDTHS[j].astype(U64)) - U64(1))
+        part = (x >> np.asarray(EDGES[j]).astype(U64)) & ((U64(1) << np.asarray(WIDTHS[j]).astype(U64)) - U64(1))
         total = total + np.bitwise_count(part)
         ok &= 5 * total <= (step + 1) * distance
     return ok
 
 
+def within(x: np.ndarray, distance: int) -> np.ndarray:
+    """Which differences have at most ``distance`` bits: only those in which some segment starts a chain are counted in full."""
+    some, close = x.ravel(), np.zeros(x.size, bool)
+    for start in range(5):
+        open_ = np.flatnonzero(~close)
+        close[open_] = chain(some[open_], start, distance)
+    at = np.flatnonzero(close)
+    close[at] = np.bitwise_count(some[at]) <= distance
+    return close.reshape(x.shape)
+
+
 def _cluster(fp: np.ndarray, distance: int) -> list[tuple[int, int]]:
     """Links that connect whatever chains of near pairs connect among ``fp``, without listing all pairs."""
     links, groups, left = [], [], np.arange(len(fp))
     while len(left):
-        near = np.bitwise_count(fp[left] ^ fp[left[0]]) <= distance
+        near = within(fp[left] ^ fp[left[0]], distance)
         groups.append(own := left[near])
         links += [(int(own[0]), int(k)) for k in own[1:]]
         left = left[~near]
@@ -115,8 +126,8 @@ def _cluster(fp: np.ndarray, distance: int) -> list[tuple[int, int]]:
         for b in np.flatnonzero(np.bitwise_count(heads ^ heads[a]) <= 3 * distance):
             if find(a) == find(int(b)):
                 continue
-            for at in range(0, len(own), 1024):
-                near = np.bitwise_count(fp[own[at : at + 1024], None] ^ fp[None, groups[b]]) <= distance
+            for at in range(0, len(own), 256):
+                near = within(fp[own[at : at + 256], None] ^ fp[None, groups[b]], distance)
                 if near.any():
                     x, y = np.argwhere(near)[0]
                     links.append((int(own[at + x]), int(groups[b][y])))
@@ -126,7 +137,7 @@ def _cluster(fp: np.ndarray, distance: int) -> list[tuple[int, int]]:
 
 
 def run_links(keys: np.ndarray, fp: np.ndarray, distance: int, small: int = 48) -> np.ndarray:
-    """Index pairs within ``distance`` among rows of equal key (rows sorted by key): all in short runs, a connecting set in long ones."""
+    """Index pairs within ``distance`` among rows of equal key (rows sorted by key), chain test first: all in short runs, a connecting set in long ones."""
     cut = np.flatnonzero(np.diff(keys)) + 1
     begin, stop = np.r_[0, cut], np.r_[cut, len(keys)]
     size = stop - begin
