@@ -17,18 +17,24 @@ U64 = np.uint64
 # --------------------------------------------------------------------------- shared storage
 
 
-def work_dir(spark: SparkSession) -> str:
+def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` where the cluster names one.
 
-    Only where it is unset is one chosen: under the warehouse on a cluster, in ``/tmp/checkpoints`` for a
-    single-process session such as the tests use.
+    Only where it is unset is one chosen: ``/tmp/checkpoints`` for a single-process session such as the tests use. On a cluster no
+    local folder would do, so there it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         master = spark.sparkContext.master
-        single = master.startswith("local") and not master.startswith("local-cluster")
-        base = "file:///tmp/checkpoints" if single else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
-    return f"{base.rstrip('/')}/quillon/{spark.sparkContext.applicationId}"
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file:///tmp/checkpoints"
+    return f"{base.rstrip('/')}/quillon"
+
+
+def work_dir(spark: SparkSession) -> str:
+    """This session's own part of the shared folder."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -2,18 +2,18 @@
 
 A content's key is the SHA-256 of its bytes together with a digest of the tokenizer file, so that another tokenizer or a changed file
 never finds old counts.  Null content is normalised to the empty text and nothing else is: the tokenizer is sensitive to
-every other change.  Misses are the distinct digests that the cache has no row for; one document stands for each, found by its id, so that
-texts are shuffled by id and a content that a third of all documents share is moved once for each of its rows to
-different tasks and encoded in one.  New counts are appended to the cache, and all rows get their counts from the cache.
+every other change.  Misses are the distinct digests that the cache has no row for; one document stands for each, found by its digest and id, so that
+copies under different ids don't meet in one task.  Rows that repeat both meet, and only the first of them is encoded.  New counts are
+appended to the cache, and all rows get their counts from the cache; without a miss no text is shuffled at all.
 
 The cache is a Parquet table ``digest, tokenizer, n_tokens``.  An append that is repeated after a failure adds equal rows, which the
-lookup folds.
+lookup folds; so do appends of several jobs at once.
 
 Counts are those of the ``tokenizers`` library for the file, strings of special tokens being those tokens.  Texts of common characters are
 encoded by ``tiktoken`` from the same vocabulary, which is faster; all others by the library itself.
 
-Defined cases: null and empty texts have 0 bytes and 0 tokens; repeated rows each get their row and cost one encoding; null doc_ids are
-counted too; an empty table gives no rows and an unchanged cache; further columns are ignored.
+Defined cases: null and empty texts have 0 bytes and 0 tokens; repeated rows each get their row and cost one encoding in a task; null doc_ids are
+counted too, each content's in a task of its own; an empty table gives no rows and an unchanged cache; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,14 +22,14 @@ import hashlib
 import json
 import os
 import re
-import uuid
 from collections.abc import Iterator
+from importlib.metadata import version
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import arrow, slices, stored, work_dir
+from quillon.llm.common import arrow, shared_dir, slices, stored
 
 CACHE_SCHEMA = "digest string, tokenizer string, n_tokens long"
 #: Characters that both libraries class alike in all Unicode versions.
@@ -87,8 +87,11 @@ def counter(path: str) -> Counter:
 
 
 def tokenizer_digest(path: str) -> str:
+    """Of the tokenizer's file and of the versions of the libraries that encode."""
     with open(path, "rb") as f:
-        return hashlib.sha256(f.read()).hexdigest()
+        known = hashlib.sha256(f.read())
+    known.update(" ".join(f"{name}={version(name)}" for name in ("sentencepiece", "tiktoken", "tokenizers")).encode())
+    return known.hexdigest()
 
 
 def open_cache(spark: SparkSession, path: str) -> DataFrame:
@@ -100,29 +103,33 @@ def open_cache(spark: SparkSession, path: str) -> DataFrame:
 def token_counts(docs: DataFrame, path: str, cache: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_tokens`` of every whole text; ``cache`` is the folder of the cache and gains what it lacked."""
     spark = docs.sparkSession
-    version = tokenizer_digest(path)
+    tokenizer = tokenizer_digest(path)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("digest", F.sha2("text", 256))
-    keyed = stored(rows.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "digests")
-    have = open_cache(spark, cache).where(F.col("tokenizer") == version).select("digest").distinct()
-    missing = keyed.groupBy("digest").agg(F.min("doc_id").alias("first_id")).join(have, "digest", "left_anti")
-    missing = stored(missing, "missing").select(F.col("digest").alias("miss"), "first_id")
+    place = F.xxhash64("doc_id")  # of documents without an id the same, which only their digest tells apart
+    keyed = stored(rows.select("doc_id", "digest", place.alias("place"), F.octet_length("text").cast("long").alias("n_bytes")), "digests")
+    have = open_cache(spark, cache).where(F.col("tokenizer") == tokenizer).select("digest").distinct()
+    missing = keyed.groupBy("digest").agg(F.min("place").alias("first")).join(have, "digest", "left_anti")
+    missing = stored(missing, "missing").select(F.col("digest").alias("miss"), "first")
     schema = pa.schema([("digest", pa.string()), ("n_tokens", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = counter(path)
+        coder, done = counter(path), set()
         for whole in batches:
             for batch in slices(whole, "text", 8 << 20):
+                new = [k for k, d in enumerate(batch.column("digest").to_pylist()) if d not in done and not done.add(d)]
+                batch = batch.take(pa.array(new, pa.int32()))
                 yield arrow(schema, digest=batch.column("digest"), n_tokens=[coder.count(t.as_py()) for t in batch.column("text")])
 
-    once = rows.join(missing, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("digest") == F.col("miss")))
-    counted = once.select("digest", "text").mapInArrow(count, "digest string, n_tokens long")
-    counted.groupBy("digest").agg(F.first("n_tokens").alias("n_tokens")).select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
-    known = open_cache(spark, cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.first("n_tokens").alias("n_tokens"))
+    if not missing.isEmpty():
+        once = rows.join(missing, (place == F.col("first")) & (F.col("digest") == F.col("miss")))
+        counted = once.select("digest", "text").mapInArrow(count, "digest string, n_tokens long")
+        counted.groupBy("digest").agg(F.first("n_tokens").alias("n_tokens")).select("digest", F.lit(tokenizer).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
+    known = open_cache(spark, cache).where(F.col("tokenizer") == tokenizer).groupBy("digest").agg(F.first("n_tokens").alias("n_tokens"))
     known = known.select(F.concat(F.col("digest"), F.lit("")).alias("known"), "n_tokens")
     return keyed.join(known, F.col("digest") == F.col("known")).select("doc_id", "n_bytes", "n_tokens")
 
 
 def op8_token_counts(docs: DataFrame, path: str, limit: int = 1024, cache: str | None = None) -> DataFrame:
-    """Counts and whether they exceed ``limit``; without ``cache`` a new one in the shared work folder serves this call."""
-    cache = cache or f"{work_dir(docs.sparkSession)}/token-cache-{uuid.uuid4().hex}"
+    """Counts and whether they exceed ``limit``; without ``cache`` the one named ``token-cache`` in the shared folder, which outlives the session."""
+    cache = cache or f"{shared_dir(docs.sparkSession)}/token-cache"
     return token_counts(docs, path, cache).withColumn("over_limit", F.col("n_tokens") > limit)
