@@ -1,12 +1,14 @@
 """Benchmark decontamination with an FM-index over every shard of training texts.
 
-A shard is a run of whole documents of one input partition.  Its index covers the maximal runs of words that
-occur in any test phrase, since a phrase can lie nowhere else: suffix array by prefix doubling, Burrows-Wheeler
-transform, rank by a wavelet matrix, suffix positions sampled at run starts and every eighth word.  Backward search takes
-all phrases at once, one word a step, and drops those whose range is empty; located occurrences become spans of words, merged for
-each document.  A document is in one shard, so nothing is shuffled, however common a phrase is.
+A shard is a run of whole documents of one input partition.  Its index covers every word of it, numbered in a dictionary of the shard's own,
+so that it answers for any set of phrases: suffix array by prefix doubling, Burrows-Wheeler
+transform, rank by a wavelet matrix, suffix positions sampled at the starts of documents and every eighth word.  Backward search takes
+many phrases at once, one word a step, and drops those whose range is empty; located occurrences become spans of words, merged for
+each document.  A document is in one shard, so nothing is shuffled, however common a phrase is.  Hashes only bring words together:
+bytes confirm that words of one number are one word.
 
-Test phrases are broadcast in sets of at most ``phrase_bytes`` of text; more sets are more passes over the same rows.
+Test phrases are broadcast in sets of at most ``phrase_bytes`` of text, packed in arrays and made one set at a time; more sets are more
+passes over the same rows.
 
 Defined cases: null and empty texts have no words and no hits; items without words occur nowhere; items of fewer words
 than the window are one phrase; an item id that is null counts as the empty string; repeated documents each get their own
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import LOWER, arrow, same_spans, slices, span_hashes, text_bytes, word_spans
+from quillon.llm.common import LOWER, U64, arrow, mixed, same_spans, slices, span_hashes, span_index, text_bytes, word_spans
 
 #: Word bytes after lower-casing: digits, a-z, and every byte of a character beyond ASCII.
 IS_WORD = np.zeros(256, bool)
@@ -32,7 +34,7 @@ IS_WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 def suffix_array(t: np.ndarray) -> np.ndarray:
     """Starts of the suffixes of ``t`` in order, by prefix doubling that sorts only what is still tied."""
     n = len(t)
-    order = np.argsort(t, kind="stable")
+    order = np.argsort(t)
     new = np.r_[True, np.diff(t[order]) != 0]
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
@@ -40,7 +42,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     while len(tied):
         after = np.where(tied + k < n, rank[np.minimum(tied + k, n - 1)] + 1, 0)
         key = rank[tied] * (n + 1) + after
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         tied, key = tied[by], key[by]
         old = rank[tied]
         at = np.arange(len(tied))
@@ -71,13 +73,13 @@ class FMIndex:
         self.sampled_before = np.r_[0, np.cumsum(self.sampled)]
         self.positions = sa[self.sampled]
         self.levels = []
-        row = self.bwt
+        row = self.bwt.astype(np.int32)
         for bit in range(int(text.max(initial=0)).bit_length() - 1, -1, -1):
-            ones = (row >> bit) & 1
+            ones = (row >> bit & 1).astype(bool)
             before = np.zeros(self.n + 1, np.int32)
             np.cumsum(ones, out=before[1:])
             self.levels.append((bit, before, self.n - int(before[-1])))
-            row = np.concatenate([row[ones == 0], row[ones == 1]])
+            row = np.concatenate([row[~ones], row[ones]])
         self.base = self._down(np.arange(len(self.first) - 1), np.zeros(len(self.first) - 1, np.int64))
 
     def _down(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
@@ -119,95 +121,140 @@ class FMIndex:
         return out
 
 
-class Phrases:
-    """Distinct windows of the test items over one vocabulary, and the items that hold each."""
+class Words:
+    """The words of texts, and a number from 0 for each distinct one, in the order of their hashes."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int):
-        words = [bytes(LOWER[np.frombuffer(t, np.uint8)]) for _, t in items]
-        table, seen = bytes(b if ok else 32 for b, ok in enumerate(IS_WORD)), {}
-        found: dict[tuple[int, ...], set[str]] = {}
-        for (item, _), text in zip(items, words):
-            ids = [seen.setdefault(w, len(seen) + 1) for w in text.translate(table).split()]
-            for k in range(max(1, len(ids) - window + 1) if ids else 0):
-                found.setdefault(tuple(ids[k : k + window]), set()).add(item)
-        vocabulary = list(seen)
-        size = np.fromiter(map(len, vocabulary), np.int64, len(vocabulary))
-        self.bytes = np.frombuffer(b"".join(vocabulary), np.uint8)
-        self.starts, self.sizes, self.seed = np.cumsum(size) - size, size, 0
+    def __init__(self, column: pa.Array):
+        data, self.offsets = text_bytes(column)
+        self.data = LOWER[data]
+        self.starts, self.ends, self.row = word_spans(self.data, self.offsets, IS_WORD)
+        size, self.seed = self.ends - self.starts, 0
         while True:
-            hashes = span_hashes(self.bytes, self.starts, self.starts + size, self.seed)
-            if len(np.unique(hashes)) == len(hashes):
+            self.hashes, first, self.number = np.unique(span_hashes(self.data, self.starts, self.ends, self.seed), return_index=True, return_inverse=True)
+            own = first[self.number]
+            other = np.flatnonzero(own != np.arange(len(own)))
+            if same_spans(self.data, self.starts[other], self.starts[own[other]], size[other], size[own[other]]).all():
                 break
             self.seed += 1
-        self.order = np.argsort(hashes)
-        self.hashes = hashes[self.order]
-        self.mask = np.zeros(1 << 16, bool)
-        self.mask[(self.hashes & np.uint64(0xFFFF)).astype(np.int64)] = True
-        self.by_length: list[tuple[np.ndarray, list[list[str]]]] = []
-        for n in sorted({len(k) for k in found}):
-            own = [k for k in found if len(k) == n]
-            self.by_length.append((np.array(own, np.int64), [sorted(found[k]) for k in own]))
-        self.shortest = min((p.shape[1] for p, _ in self.by_length), default=0)
-
-    def symbols(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The vocabulary number of each word, 0 for others; hashes find it, bytes confirm it."""
-        out = np.zeros(len(starts), np.int64)
-        if not len(self.hashes) or not len(starts):
+        self.first, self.size = self.starts[first], size[first]
+
+
+def _groups(numbers: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """One start for each distinct run of ``length`` numbers, and which of these the run at each start equals."""
+    for seed in range(16):
+        h = np.full(len(starts), seed, U64)
+        for k in range(length):
+            h = mixed(h * U64(0x9E3779B97F4A7C15) + numbers[starts + k].astype(U64))
+        _, first, group = np.unique(h, return_index=True, return_inverse=True)
+        first = starts[first]
+        if all((numbers[starts + k] == numbers[first[group] + k]).all() for k in range(length)):
+            return first, group
+    raise RuntimeError("sixteen hashes in a row collided")
+
+
+class Phrases:
+    """Distinct windows of the test items over one dictionary of words, and the items that hold each, in packed arrays."""
+
+    def __init__(self, items: list[tuple[str, bytes]], window: int):
+        self.items = sorted({i for i, _ in items})
+        place = {item: k for k, item in enumerate(self.items)}
+        words = Words(pa.array([t.decode() for _, t in items] or [""], pa.large_string()))
+        item = np.array([place[i] for i, _ in items], np.int64)
+        self.seed, self.hashes, self.sizes = words.seed, words.hashes, words.size
+        self.bytes = words.data[span_index(words.first, words.size)]
+        self.starts = np.cumsum(words.size) - words.size
+        self.numbers = words.number.astype(np.int32)
+        n = np.bincount(words.row, minlength=len(items)) if len(items) else np.zeros(0, np.int64)
+        begin, count = np.cumsum(n) - n, np.where(n > 0, np.maximum(1, n - window + 1), 0)
+        del words
+        start, owner = span_index(begin, count), np.repeat(item, count)
+        length = np.repeat(np.minimum(n, window), count)
+        #: length, a start in ``numbers`` for each distinct phrase, and its items as a range of the numbers that come last
+        self.by_length: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+        for k in np.unique(length).tolist():
+            own = length == k
+            first, group = _groups(self.numbers, start[own], k)
+            pair = np.unique(group * len(self.items) + owner[own])
+            self.by_length.append((k, first.astype(np.int32), np.searchsorted(pair, np.arange(len(first) + 1) * len(self.items)), (pair % len(self.items)).astype(np.int32)))
+
+    def symbols(self, shard: Words) -> np.ndarray:
+        """The symbol in the shard's index of each word of the dictionary, 0 for those that it lacks; hashes find it, bytes confirm it."""
+        out = np.zeros(len(self.hashes), np.int64)
+        if not len(self.hashes) or not len(shard.hashes):
             return out
-        h = span_hashes(data, starts, ends, self.seed)
-        some = np.flatnonzero(self.mask[(h & np.uint64(0xFFFF)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.hashes, h[some]), len(self.hashes) - 1)
-        some, at = some[equal := self.hashes[at] == h[some]], at[equal]
-        word = self.order[at]
-        both = np.concatenate([data, self.bytes])
-        same = same_spans(both, starts[some], len(data) + self.starts[word], (ends - starts)[some], self.sizes[word])
-        out[some[same]] = word[same] + 1
+        hashes, order = shard.hashes, np.arange(len(shard.hashes))
+        if shard.seed != self.seed:
+            order = np.argsort(shard.first)
+            hashes = span_hashes(shard.data, shard.first[order], (shard.first + shard.size)[order], self.seed)
+            order, hashes = order[by := np.argsort(hashes)], hashes[by]
+        low, high = np.searchsorted(hashes, self.hashes, "left"), np.searchsorted(hashes, self.hashes, "right")
+        both = np.concatenate([shard.data, self.bytes])
+        for k in range(int((high - low).max())):  # more than one only where words of the shard collide
+            some = np.flatnonzero(low + k < high)
+            word = order[low[some] + k]
+            same = same_spans(both, shard.first[word], len(shard.data) + self.starts[some], shard.size[word], self.sizes[some])
+            out[some[same]] = word[same] + 1
         return out
 
 
-def scan(phrases: Phrases, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[set[str]]]:
-    """Of the shard that the texts of ``column`` make: byte starts, ends and row of each word, whether it is hit, and each row's items."""
-    data, offsets = text_bytes(column)
-    data = LOWER[data]
-    starts, ends, row = word_spans(data, offsets, IS_WORD)
-    hit, items = np.zeros(len(starts), bool), [set() for _ in range(len(offsets) - 1)]
-    symbol = phrases.symbols(data, starts, ends)
-    inside = symbol > 0
-    if not inside.any():
-        return starts, ends, row, hit, items
-    new = np.r_[True, (row[1:] != row[:-1]) | ~inside[:-1]] & inside
-    run = np.cumsum(new) - 1
-    size = np.bincount(run[inside])
-    keep = inside & (size[run] >= phrases.shortest)
-    word = np.flatnonzero(keep)
-    if not len(word):
-        return starts, ends, row, hit, items
-    shift = np.cumsum(new[word])  # a separator before each run
-    text = np.zeros(len(word) + int(shift[-1]), np.int64)
-    text[np.arange(len(word)) + shift] = symbol[word]
-    back = np.zeros(len(text), np.int64)
-    back[np.arange(len(word)) + shift] = word
-    index = FMIndex(text)
-    edge = np.zeros(len(starts) + 1, np.int64)
-    for patterns, owners in phrases.by_length:
-        which, low, high = index.search(patterns)
-        count = high - low
-        rows = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-        begin = back[index.locate(rows)]
-        np.add.at(edge, begin, 1)
-        np.add.at(edge, begin + patterns.shape[1], -1)
-        pair = np.unique(np.stack([row[begin], np.repeat(which, count)]), axis=1) if len(begin) else np.zeros((2, 0), np.int64)
-        for r, p in pair.T.tolist():
-            items[r].update(owners[p])
-    return starts, ends, row, np.cumsum(edge[:-1]) > 0, items
-
-
-def phrase_sets(benchmark: DataFrame, item_col: str, text_col: str, window: int, phrase_bytes: int) -> list[Phrases]:
-    """The items' phrases, in as many sets as keep each under about ``phrase_bytes`` of text."""
-    rows = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).alias("text")).where("text is not null")
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // phrase_bytes) or 1
-    return [Phrases([(r.item, r.text.encode()) for r in rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).toLocalIterator()], window) for k in range(n)]
+class Shard:
+    """The texts of a column as words and an FM-index over all of them."""
+
+    def __init__(self, column: pa.Array):
+        self.words = Words(column)
+        row = self.words.row
+        shift = np.cumsum(np.r_[0, np.diff(row) != 0]) if len(row) else np.zeros(0, np.int64)  # a separator after each document
+        at = np.arange(len(row)) + shift
+        text = np.zeros(int(at[-1]) + 2 if len(at) else 1, np.int64)
+        text[at] = self.words.number + 1
+        self.word = np.zeros(len(text), np.int64)
+        self.word[at] = np.arange(len(row))
+        self.index = FMIndex(text)
+
+    def hits(self, phrases: Phrases, piece: int = 1 << 18) -> tuple[np.ndarray, list[set[str]]]:
+        """Whether each word lies in an occurrence of a phrase, and the items that occur in each text."""
+        words, edge, found = self.words, np.zeros(len(self.words.row) + 1, np.int64), [np.zeros(0, np.int64)]
+        symbol = phrases.symbols(words)
+        known = np.r_[0, np.cumsum(symbol[phrases.numbers] == 0)]
+        for length, start, begin, owner in phrases.by_length:
+            here = np.flatnonzero(known[start + length] == known[start])
+            for at in range(0, len(here), piece):
+                own = here[at : at + piece]
+                which, low, high = self.index.search(symbol[phrases.numbers[start[own][:, None] + np.arange(length)]])
+                count = high - low
+                first = self.word[self.index.locate(span_index(low, count))]
+                np.add.at(edge, first, 1)
+                np.add.at(edge, first + length, -1)
+                phrase = own[which]
+                pair = np.unique(words.row[first] * (len(start) + 1) + np.repeat(phrase, count))
+                row, phrase = pair // (len(start) + 1), pair % (len(start) + 1)
+                n = begin[phrase + 1] - begin[phrase]
+                found.append(np.unique(np.repeat(row, n) * len(phrases.items) + owner[span_index(begin[phrase], n)]))
+        items: list[set[str]] = [set() for _ in range(len(words.offsets) - 1)]
+        for pair in np.unique(np.concatenate(found)).tolist():
+            items[pair // len(phrases.items)].add(phrases.items[pair % len(phrases.items)])
+        return np.cumsum(edge[:-1]) > 0, items
+
+
+class PhraseSets:
+    """The items' phrases, in as many sets as keep each under about ``phrase_bytes`` of text; a set is made when it is asked for."""
+
+    def __init__(self, benchmark: DataFrame, item_col: str, text_col: str, window: int, phrase_bytes: int):
+        self.rows = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).alias("text")).where("text is not null")
+        total = self.rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        self.n, self.window = -(-total // phrase_bytes) or 1, window
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __iter__(self) -> Iterator[Phrases]:
+        for k in range(self.n):
+            own = self.rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(self.n)) == k)
+            yield Phrases([(r.item, r.text.encode()) for r in own.toLocalIterator()], self.window)
+
+
+def phrase_sets(benchmark: DataFrame, item_col: str, text_col: str, window: int, phrase_bytes: int) -> PhraseSets:
+    return PhraseSets(benchmark, item_col, text_col, window, phrase_bytes)
 
 
 def _merged(hit: np.ndarray, row: np.ndarray, n: int) -> list[np.ndarray]:
@@ -230,7 +277,7 @@ def _span_array(spans: list[np.ndarray]) -> pa.Array:
     return pa.array([[{"first": a, "last": b} for a, b in x.tolist()] for x in spans], pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, shard_bytes: int = 2 << 20, phrase_bytes: int = 16 << 20) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, shard_bytes: int = 2 << 20, phrase_bytes: int = 7 << 20) -> DataFrame:
     """``doc_id, n_words, n_hit, items, spans`` for every row; ``spans`` are merged runs of hit words, as first and last word number."""
     spark = docs.sparkSession
     out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"), F.array().cast("array<struct<first:int,last:int>>").alias("spans"))
@@ -242,7 +289,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for batch in slices(whole, "text", shard_bytes):
-                    _, _, row, hit, items = scan(sent.value, batch.column("text"))
+                    shard = Shard(batch.column("text"))
+                    row, (hit, items) = shard.words.row, shard.hits(sent.value)
                     base = np.searchsorted(row, np.arange(batch.num_rows))
                     _mark(hit, base, batch.column("spans"))
                     items = [sorted(a | set(b)) for a, b in zip(items, batch.column("items").to_pylist())]
@@ -254,7 +302,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_bytes: int = 2 << 20, phrase_bytes: int = 16 << 20) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_bytes: int = 2 << 20, phrase_bytes: int = 7 << 20) -> DataFrame:
     """``docs`` with every merged span cut out of ``text``, from its first hit word to its last; other columns and rows stay.
 
     ``n_chars``, where there is such a column, is the new text's length.
@@ -273,7 +321,9 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, shar
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for batch in slices(whole, "text", shard_bytes):
-                    starts, ends, row, hit, _ = scan(sent.value, batch.column("text"))
+                    shard = Shard(batch.column("text"))
+                    starts, ends, row = shard.words.starts, shard.words.ends, shard.words.row
+                    hit, _ = shard.hits(sent.value)
                     base = np.searchsorted(row, np.arange(batch.num_rows))
                     _mark(hit, base, batch.column(held))
                     merged = _merged(hit, row, batch.num_rows)
