@@ -6,7 +6,8 @@ a bucket are compared by cosine in double precision.  With the defaults a pair a
 probability 0.9998, at 0.98 with 0.9999999; see :func:`recall`.
 
 A pair that shares buckets in several tables counts in the first of them only, so that link counts need no list
-of pairs: a bucket gives each member a number of links and a connecting set of links.  Equal vectors
+of pairs: a bucket gives each member a number of links and a connecting set of links.  Codes are computed again, exactly, where vectors meet,
+so that only a vector and its key travel to each table.  Equal vectors
 are one class, compared once and counted by its size.  Large buckets are compared in pairs of blocks.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do rows
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,17 +46,28 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+@lru_cache(8)
+def _projections(size: int, n: int, width: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Gaussian directions in units of 2**-16, as doubles without fractions, and offsets."""
+    rng = np.random.default_rng((seed, size))
+    return np.rint(rng.standard_normal((size, n)) * 2.0**16), rng.uniform(0, width, n)
+
+
 def _codes(unit: np.ndarray, projections: int, tables: int, width: float, seed: int) -> np.ndarray:
-    rng = np.random.default_rng((seed, unit.shape[1]))
-    a = rng.standard_normal((unit.shape[1], tables * projections))
-    b = rng.uniform(0, width, tables * projections)
-    cell = np.floor((unit @ a + b) / width).astype(np.int64).view(U64).reshape(len(unit), tables, projections)
+    """Bucket codes, a column for each table.  All products and sums are of whole numbers below 2**53, so that a vector's codes are
+    the same wherever and beside whichever others they are computed, and needn't travel with it."""
+    a, b = _projections(unit.shape[1], tables * projections, width, seed)
+    cell = np.floor((np.rint(unit * 2.0**20) @ a * 2.0**-36 + b) / width).astype(np.int64).view(U64).reshape(len(unit), tables, projections)
     code = np.zeros(cell.shape[:2], U64)
     for k in range(projections):
         code = mixed(code * U64(31) + cell[:, :, k] + U64(k + 1))
     return code.view(np.int64)
 
 
+def _unit(v: np.ndarray) -> np.ndarray:
+    return v / np.sqrt((v * v).sum(axis=1))[:, None] if len(v) else v
+
+
 def _compare(codes: np.ndarray, unit: np.ndarray, table: int, weight: np.ndarray, mine: np.ndarray, left: int, right: int, threshold: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Links of each row, in rows of the table, and links that connect what is connected."""
     n, parts = np.zeros(len(unit), np.int64), []
@@ -98,7 +111,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     classes = stored(classes, "vectors")
 
     real = np.float32 if dict(vectors.dtypes)[vector_col] == "array<float>" else np.float64
-    fields = [("key", pa.int64()), ("tbl", pa.int32()), ("rep", pa.int64()), ("copies", pa.int64()), ("codes", pa.binary()), ("vec", pa.binary())]
+    fields = [("key", pa.int64()), ("tbl", pa.int32()), ("rep", pa.int64()), ("copies", pa.int64()), ("vec", pa.binary())]
     schema = pa.schema(fields)
 
     def hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,13 +120,13 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
             for n in np.unique(size):
                 batch = whole.filter(pa.array(size == n))
                 v = _matrix(batch.column("vec"))
-                code = _codes(v / np.sqrt((v * v).sum(axis=1))[:, None] if len(v) else v, projections, tables, width, seed)
+                code = _codes(_unit(v), projections, tables, width, seed)
                 label = batch.column("salt").to_numpy(zero_copy_only=False).view(U64)
-                raw, packed = [x.tobytes() for x in v.astype(real)], [x.tobytes() for x in code]
+                raw = pa.array([x.tobytes() for x in v.astype(real)], pa.binary())
                 rep, copies = batch.column("rep"), batch.column("copies")
                 for t in range(tables):
                     key = mixed(code[:, t].view(U64) ^ mixed(label + U64(t * 4096 + int(n))))
-                    yield arrow(schema, key=key.view(np.int64), tbl=np.full(len(v), t, np.int32), rep=rep, copies=copies, codes=packed, vec=raw)
+                    yield arrow(schema, key=key.view(np.int64), tbl=np.full(len(v), t, np.int32), rep=rep, copies=copies, vec=raw)
 
     out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
@@ -122,19 +135,23 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
             grp = batch.column("grp").to_numpy(zero_copy_only=False)
             cut = np.r_[0, np.flatnonzero(np.diff(grp)) + 1, len(grp)]
             rep, copies, mine, left, right, tbl, key = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "copies", "mine", "left", "right", "tbl", "key"))
-            vec, codes = batch.column("vec"), batch.column("codes")
+            vec = batch.column("vec").to_pylist()
+            size = np.fromiter(map(len, vec), np.int64, len(vec))
+            units, codes, place = {}, {}, np.empty(len(vec), np.int64)
+            for k in np.unique(size):
+                same = np.flatnonzero(size == k)
+                place[same] = np.arange(len(same))
+                units[k] = _unit(np.frombuffer(b"".join(vec[i] for i in same.tolist()), real).reshape(len(same), -1).astype(np.float64))
+                codes[k] = _codes(units[k], projections, tables, width, seed)
             a, b, n = [], [], []
             for s, e in zip(cut[:-1], cut[1:]):
                 if e - s < 2:
                     continue
                 for k in np.unique(key[s:e]):  # other keys are here only if their hashes are equal
                     own = s + np.flatnonzero(key[s:e] == k)
-                    v = [np.frombuffer(vec[int(i)].as_py(), real).astype(np.float64) for i in own]
-                    if len(own) < 2 or len({len(x) for x in v}) > 1:
+                    if len(own) < 2 or (size[own] != size[own[0]]).any():
                         continue
-                    v = np.stack(v)
-                    c = np.stack([np.frombuffer(codes[int(i)].as_py(), np.int64) for i in own])
-                    unit = v / np.sqrt((v * v).sum(axis=1))[:, None]
+                    c, unit = codes[size[own[0]]][place[own]], units[size[own[0]]][place[own]]
                     got, links = _compare(c, unit, int(tbl[own[0]]), copies[own], mine[own], int(left[own[0]]), int(right[own[0]]), threshold)
                     some = np.flatnonzero(got)
                     a += rep[own][some].tolist() + [int(rep[own[x]]) for x, _ in links]
@@ -143,7 +160,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
             if a:
                 yield arrow(out, a=a, b=b, n=n)
 
-    hashed = classes.select("vec", "rep", "copies", F.xxhash64("label").alias("salt")).mapInArrow(hash_rows, "key long, tbl int, rep long, copies long, codes binary, vec binary")
+    hashed = classes.select("vec", "rep", "copies", F.xxhash64("label").alias("salt")).mapInArrow(hash_rows, "key long, tbl int, rep long, copies long, vec binary")
     hashed = in_blocks(hashed, "key", F.xxhash64("rep"), block).withColumn("grp", F.xxhash64("key", "left", "right"))
     found = hashed.repartition("grp").sortWithinPartitions("grp").mapInArrow(compare, "a long, b long, n long")
     found = stored(found, "links")
