@@ -37,7 +37,7 @@ class Project:
 
     def preview(self) -> DataFrame:
         """What an index would hold and what it would skip, by reason."""
-        return sources.preview(sources.scan(self.spark, self.root, self.ignore))
+        return sources.preview(sources.scan(self.spark, self.root, self.ignore or None))
 
     def _tables(self, files: DataFrame) -> dict[str, DataFrame]:
         files = files.select("path", "text")
@@ -65,7 +65,7 @@ class Project:
 
     def build(self) -> str:
         """Index all eligible files as a new generation."""
-        kept, _ = sources.capped(sources.scan(self.spark, self.root, self.ignore))
+        kept, _ = sources.capped(sources.scan(self.spark, self.root, self.ignore or None))
         return self._publish(self._tables(kept))
 
     def refresh(self) -> str | None:
@@ -76,7 +76,7 @@ class Project:
         meta = self.index.meta()
         if meta is None or (meta.get("embedding"), meta.get("chunk_lines")) != (self._embedding, self.chunk_lines):
             return self.build()
-        kept, _ = sources.capped(sources.scan(self.spark, self.root, self.ignore))
+        kept, _ = sources.capped(sources.scan(self.spark, self.root, self.ignore or None))
         old = self.index.open()
         changes = manifest.diff(old["manifest"], manifest.manifest(kept)).where("status <> 'unchanged'")
         if changes.isEmpty():
@@ -144,7 +144,7 @@ class Project:
     def relationships(self, file: str, direction: str = "out", hops: int = 1, most: int = 200) -> DataFrame:
         """Paths from a file whose edges still hold: both ends are as they were indexed."""
         old = self.index.open("edges", "manifest")
-        now = manifest.manifest(sources.scan(self.spark, self.root, self.ignore).where("skip_reason is null"))
+        now = manifest.manifest(sources.scan(self.spark, self.root, self.ignore or None).where("skip_reason is null"))
         fresh = manifest.freshness(old["manifest"].select("path"), old["manifest"], now).where("state = 'current'").select("path")
         e = old["edges"].join(fresh.select(F.col("path").alias("src")), "src", "left_semi").join(fresh.select(F.col("path").alias("dst")), "dst", "left_semi")
         return graph.paths(e, self.spark.createDataFrame([(file,)], "node string"), hops, direction, most)

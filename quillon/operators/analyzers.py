@@ -95,20 +95,51 @@ def _quoted(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), 1)
 
 
+IMPORT = r"""(?m)^[ \t]*import\s+(?:type\s+(?=[\w{*$]))?([^'";()]*?)\s*from\s*['"]([^'"\n]+)['"]|^[ \t]*import\s*['"]([^'"\n]+)['"]"""
+
+
 def imports(files: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
-    """Import statements by line: ``key, line, source, names``; ``*`` and ``default`` name whole and default imports."""
-    rows = files.select(key, F.posexplode(F.split(text, "\n", -1)).alias("line", "body")).where(F.col("body").rlike(r"^\s*import\s"))
-    source = F.regexp_extract("body", r"""from\s+['"]([^'"]+)['"]|^\s*import\s+['"]([^'"]+)['"]""", 1)
-    bare = F.regexp_extract("body", r"""^\s*import\s+['"]([^'"]+)['"]""", 1)
-    braces = F.transform(F.filter(F.split(F.regexp_extract("body", r"\{([^}]*)\}", 1), ","), lambda x: F.btrim(x) != ""), lambda x: F.btrim(F.regexp_replace(x, r"\s+as\s+.*$", "")))
-    head = F.regexp_extract("body", r"^\s*import\s+([A-Za-z_$][\w$]*)\s*(?:,|from)", 1)
-    names = F.concat(F.when(F.col("body").rlike(r"\*\s+as\s+"), F.array(F.lit("*"))).otherwise(F.array().cast("array<string>")), F.when(head != "", F.array(F.lit("default"))).otherwise(F.array().cast("array<string>")), braces)
-    return rows.select(key, (F.col("line") + 1).alias("line"), F.when(source != "", source).otherwise(bare).alias("source"), names.alias("names")).where("source <> ''")
+    """Import statements, over several lines too: ``key, line, source, names``; ``*`` and ``default`` name whole and default imports, others are names before ``as``."""
+    rows = files.select(key, F.col(text).alias("__text"), F.regexp_extract_all(text, F.lit(IMPORT), 0).alias("found"))
+    # Where each statement stands: at or after the end of the one before it.
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<statement:string,at:int>>").alias("out"))
+    placed = F.aggregate("found", start, lambda acc, s: F.struct((F.call_function("locate", s, F.col("__text"), acc["at"]) + F.length(s)).alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("statement"), F.call_function("locate", s, F.col("__text"), acc["at"]).alias("at")))).alias("out")))
+    rows = rows.where(F.size("found") > 0).select(key, "__text", F.explode(placed["out"]).alias("x"))
+    s = F.col("x.statement")
+    before = F.substring(F.col("__text"), F.lit(1), F.col("x.at") - 1 + F.length(s) - F.length(F.ltrim(s)))
+    line = F.length(before) - F.length(F.replace(before, F.lit("\n"))) + 1
+    source = F.when(F.regexp_extract(s, IMPORT, 2) != "", F.regexp_extract(s, IMPORT, 2)).otherwise(F.regexp_extract(s, IMPORT, 3))
+    clause = F.regexp_replace(F.regexp_extract(s, IMPORT, 1), r"(?s)//[^\n]*|/\*.*?\*/", "")
+    none = F.array().cast("array<string>")
+    head = F.regexp_extract(clause, r"^\s*([A-Za-z_$][\w$]*)", 1)
+    names = F.concat(F.when(head != "", F.array(F.lit("default"))).otherwise(none), F.when(clause.rlike(r"\*\s*as\s"), F.array(F.lit("*"))).otherwise(none), _listed(clause, 1))
+    return rows.select(key, line.cast("int").alias("line"), source.alias("source"), names.alias("names"))
+
+
+def _listed(clause: Column, side: int) -> Column:
+    """The names in braces: of ``a as b`` the first (1) or the second (2)."""
+    own = F.filter(F.transform(F.split(F.regexp_extract(clause, r"\{([^}]*)\}", 1), ","), lambda x: F.regexp_replace(F.btrim(x, F.lit(" \t\r\n")), r"^type\s+(?!as\s)", "")), lambda x: x != "")
+    return F.transform(own, lambda x: F.btrim(F.regexp_replace(x, r"\s+as\s+.*$" if side == 1 else r"^.*\s+as\s+", ""), F.lit("'\"")))
+
+
+DECLARED = r"(?m)^[ \t]*export\s+(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?(?:const\s+enum|class|function\s*\*?|interface|enum|type|namespace|const|let|var)\s+([A-Za-z_$][\w$]*)"
+LISTED = r"(?m)^[ \t]*export\s+(?:type\s+)?(\{[^}]*\})"
+DEFAULT = r"(?m)^[ \t]*export\s+default\s+((?:(?:abstract\s+)?(?:async\s+)?(?:class|function)\b)?[^\n;]*)"
+
+
+def exports(files: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
+    """What files export: ``key, name, is_default``. A default is named if it is a plain identifier, else ``default``; of a list's ``a as b`` the second name counts."""
+    bare = F.regexp_replace(text, r"(?s)/\*.*?\*/|(?m)^[ \t]*//[^\n]*", "")
+    lists = F.flatten(F.transform(F.regexp_extract_all(bare, F.lit(LISTED), 1), lambda c: _listed(c, 2)))
+    named = F.concat(F.regexp_extract_all(bare, F.lit(DECLARED), 1), lists)
+    whole = F.transform(F.regexp_extract_all(bare, F.lit(DEFAULT), 1), lambda d: F.when(F.btrim(d, F.lit(" \t\r")).rlike(r"^(?!(?:class|function|async|abstract|new|null|true|false|this)$)[A-Za-z_$][\w$]*$"), F.btrim(d, F.lit(" \t\r"))).otherwise("default"))
+    both = F.concat(F.transform(named, lambda n: F.struct(n.alias("name"), F.lit(False).alias("is_default"))), F.transform(whole, lambda n: F.struct(n.alias("name"), F.lit(True).alias("is_default"))))
+    return files.where(F.col(text).isNotNull()).select(key, F.explode(both).alias("x")).select(key, "x.name", "x.is_default")
 
 
 def reexports(files: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
     """``export … from`` statements: ``key, source``."""
-    return files.select(key, F.explode(_quoted(F.col(text), r"""(?m)^\s*export\s+(?:\*(?:\s+as\s+\w+)?|\{[^}]*\})\s+from\s+['"]([^'"]+)['"]""")).alias("source"))
+    return files.select(key, F.explode(_quoted(F.col(text), r"""(?m)^[ \t]*export\s+(?:type\s+)?(?:\*(?:\s+as\s+\w+)?|\{[^}]*\})\s*from\s*['"]([^'"]+)['"]""")).alias("source"))
 
 
 SUFFIXES = ["", ".ts", ".tsx", ".js", ".jsx", ".py", "/index.ts", "/index.js", "/__init__.py"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -53,48 +54,97 @@ def segments(symbols: DataFrame, files: DataFrame, key: str = "file") -> DataFra
     return hit.groupBy(key, "start_line", "end_line").agg(F.min_by("id", F.struct(F.col("end") - F.col("start"), "start", "id")).alias("owner"))
 
 
-def merge_small(chunks: DataFrame, least: int = 15, key: str = "doc_id", same: tuple[str, ...] = ()) -> DataFrame:
-    """Adjacent chunks of a file become one while the merged one has fewer than ``least`` lines; the columns ``same`` must agree.
-
-    Whether two merge depends on the size so far, so that it is a fold over each file's chunks in order.
-    """
-    schema = chunks.select(key, "start_line", "end_line", "content", *same).schema
+def _folded(chunks: DataFrame, key: str, joins, merged) -> DataFrame:
+    """A fold over each file's chunks in order of lines: ``merged(last, row)`` takes the place of both wherever ``joins(last, row)``."""
+    schema = chunks.schema
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         out: list[dict] = []
-        for row in rows.sort_values("start_line").to_dict("records"):
-            last = out[-1] if out else None
-            if last and last["end_line"] - last["start_line"] + 1 < least and last["end_line"] + 1 == row["start_line"] and all(last[c] == row[c] for c in same):
-                last["end_line"], last["content"] = row["end_line"], last["content"] + "\n" + row["content"]
+        for row in rows.sort_values(["start_line", "end_line"]).astype(object).where(rows.notna(), None).to_dict("records"):
+            if out and joins(out[-1], row):
+                out[-1] = merged(out[-1], row)
             else:
                 out.append(row)
         return pd.DataFrame(out, columns=schema.names)
 
-    return chunks.select(*schema.names).groupBy(key).applyInPandas(fold, schema)
+    return chunks.groupBy(key).applyInPandas(fold, schema)
+
+
+def merge_small(chunks: DataFrame, least: int = 15, key: str = "doc_id", same: tuple[str, ...] | None = None, united: tuple[str, ...] = (), owners: tuple[str, ...] = ()) -> DataFrame:
+    """Adjacent chunks of a file become one if each, the one so far and the next, has fewer than ``least`` lines.
+
+    All other columns must agree (or just those named in ``same``); array columns in ``united`` become their union, in order, and chunks with a value in
+    one of ``owners`` stay as they are. Whether two merge depends on the size so far, so that it is a fold over each file's chunks in order.
+    """
+    fixed = {key, "start_line", "end_line", "content", *united, *owners}
+    agree = tuple(c for c in chunks.columns if c not in fixed) if same is None else same
+
+    def lines(row: dict) -> int:
+        return row["content"].count("\n") + 1
+
+    def joins(last: dict, row: dict) -> bool:
+        spans = all(r["end_line"] - r["start_line"] + 1 == lines(r) for r in (last, row))
+        return spans and row["start_line"] == last["end_line"] + 1 and max(lines(last), lines(row)) < least and all(last[c] == row[c] for c in agree) and all(r[c] is None for c in owners for r in (last, row))
+
+    def merged(last: dict, row: dict) -> dict:
+        both = {c: list(dict.fromkeys([*(last[c] if last[c] is not None else []), *(row[c] if row[c] is not None else [])])) for c in united}
+        return last | both | {"end_line": row["end_line"], "content": last["content"] + "\n" + row["content"]}
+
+    return _folded(chunks.select(key, "start_line", "end_line", "content", *[c for c in chunks.columns if c in {*agree, *united, *owners}]), key, joins, merged)
+
+
+def merge_symbols(chunks: DataFrame, least: int, key: str = "doc_id") -> DataFrame:
+    """Neighbouring chunks of symbols with one ``parent``, each of fewer than ``least`` lines, become one with both names; ``symbol`` is null for other chunks."""
+    def size(row: dict) -> int:
+        return row["end_line"] - row["start_line"] + 1
+
+    def joins(last: dict, row: dict) -> bool:
+        return last["symbol"] is not None and row["symbol"] is not None and max(size(last), size(row)) < least and last["parent"] == row["parent"]
+
+    return _folded(chunks, key, joins, lambda last, row: last | {"end_line": row["end_line"], "content": last["content"] + "\n" + row["content"], "symbol": last["symbol"] + "+" + row["symbol"]})
 
 
 def split_oversized(chunks: DataFrame, most: int = 150) -> DataFrame:
-    """Chunks of over ``most`` lines are halved, at the blank line nearest the middle within a quarter of the chunk or 20 lines, until none is."""
+    """Chunks of over ``most`` lines are cut in two until none is.
+
+    The cut comes after the line nearest the middle that is blank, a comment or a closing brace, within 20 lines or a quarter of the chunk, the first
+    on ties; without one it is at the middle. Where there is a column ``symbol``, the parts of a chunk are numbered after its name.
+    """
     schema = chunks.schema
+    safe = re.compile(r"\s*(?://|#|/\*|\*/)|\s*(?:\};?)?\s*$")
 
     def halves(start: int, lines: list[str]) -> list[tuple[int, list[str]]]:
         if len(lines) <= most:
             return [(start, lines)]
         middle, reach = len(lines) // 2, min(20, len(lines) // 4)
-        blank = [i for i in range(middle - reach, middle + reach + 1) if 0 < i < len(lines) and not lines[i].strip()]
-        at = min(blank, key=lambda i: (abs(i - middle), i)) if blank else middle
-        return halves(start, lines[:at]) + halves(start + at, lines[at:])
+        near = [i for i in range(max(1, middle - reach), min(len(lines) - 1, middle + reach) + 1) if safe.match(lines[i])]
+        at = min(near, key=lambda i: (abs(i - middle), i)) + 1 if near else middle
+        return [(start, lines)] if at >= len(lines) else halves(start, lines[:at]) + halves(start + at, lines[at:])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             out = []
             for row in rows.to_dict("records"):
-                out += [row | {"start_line": s, "end_line": s + len(part) - 1, "content": "\n".join(part)} for s, part in halves(row["start_line"], row["content"].split("\n"))]
+                parts = halves(row["start_line"], row["content"].split("\n"))
+                for n, (s, part) in enumerate(parts, 1):
+                    name = {"symbol": f"{re.sub(':[0-9]+$', '', row['symbol'] or 'chunk')}:{n}"} if len(parts) > 1 and "symbol" in row else {}
+                    out.append(row | name | {"start_line": s, "end_line": s + len(part) - 1, "content": "\n".join(part)})
             yield pd.DataFrame(out, columns=rows.columns)
 
     return chunks.mapInPandas(run, schema)
 
 
+def partition(symbols: DataFrame, files: DataFrame, key: str = "file") -> DataFrame:
+    """:func:`segments` with ``kind``: a leaf's own lines are its ``body``, lines of a container before, between and after its parts its ``header``, ``body`` and ``footer``, the rest ``filler``."""
+    rows = segments(symbols, files, key)
+    s = symbols.select(F.col(key).alias("sk"), F.col("id").alias("owner_id"), F.col("start").alias("s"), F.col("end").alias("e"))
+    inner = symbols.select(F.col(key).alias("ik"), F.col("id").alias("iid"), F.col("start").alias("is"), F.col("end").alias("ie"))
+    inside = (F.col("ik") == F.col("sk")) & (F.col("is") >= F.col("s")) & (F.col("ie") <= F.col("e")) & (F.col("iid") != F.col("owner_id")) & ((F.col("is") > F.col("s")) | (F.col("ie") < F.col("e")))
+    parts = s.join(inner, inside, "left").groupBy("sk", "owner_id").agg(F.min("is").alias("first"), F.max("ie").alias("last"))
+    kind = F.when(F.col("owner").isNull(), "filler").when(F.col("first").isNull(), "body").when(F.col("end_line") < F.col("first"), "header").when(F.col("start_line") > F.col("last"), "footer").otherwise("body")
+    return rows.join(parts, (F.col(key) == F.col("sk")) & (F.col("owner") == F.col("owner_id")), "left").select(*rows.columns, kind.alias("kind"))
+
+
 def broken(chunks: DataFrame, files: DataFrame, key: str = "doc_id") -> DataFrame:
     """Chunks whose text isn't the lines of their file that they claim."""
     rows = chunks.join(files.select(key, lines_of(F.col("text")).alias("lines")), key)

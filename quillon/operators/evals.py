@@ -35,6 +35,42 @@ def signals(rows: DataFrame, text: str, expected: list[str], forbidden: list[str
     return rows.withColumns({"matched": F.filter(e, has), "missing": F.filter(e, lambda x: ~has(x)), "found_forbidden": F.filter(f, has)}).withColumn("useful", F.size("matched") / len(expected))
 
 
+def preflight_rates(tasks: DataFrame) -> DataFrame:
+    """One row over ``(risk, ready, abstain, first_hit, target_in_top3, example_hit)``: how often safe tasks are ready, unsafe ones refused or wrongly ready, targets and examples found.
+
+    Shares are null where no task calls for them.
+    """
+    safe, unsafe = F.col("risk") == "safe", F.col("risk") == "unsafe"
+    rate = lambda of, yes: F.count_if(of & yes) / F.nullif(F.count_if(of), F.lit(0))
+    target, example = F.col("target_in_top3").isNotNull(), F.col("example_hit").isNotNull()
+    return tasks.agg(
+        F.count("*").alias("tasks"), F.count_if(safe).alias("safe"), F.count_if(unsafe).alias("unsafe"), rate(target, F.col("target_in_top3")).alias("target_rate"), F.avg("first_hit").alias("first_hit"),
+        rate(example, F.col("example_hit")).alias("example_rate"), rate(safe, F.col("ready")).alias("safe_ready"), rate(unsafe, F.col("abstain")).alias("unsafe_refused"), rate(unsafe, F.col("ready")).alias("unsafe_ready"),
+    )
+
+
+def answer_files(answers: DataFrame, root: str = "") -> DataFrame:
+    """``task, file, start, end, full_file`` of answers ``(task, evidence, referenced)``: a span for each piece of evidence, and the whole of files that are only referred to."""
+    def clean(path: Column) -> Column:
+        p = F.regexp_replace(path, r"\\\\", "/")
+        p = F.when(F.lit(root != "") & F.startswith(p, F.lit(root.rstrip("/") + "/")), F.substring(p, len(root.rstrip("/")) + 2, 1 << 20)).otherwise(p)
+        return F.regexp_replace(F.regexp_replace(p, r"^(?:\./)+", ""), "^/+", "")
+
+    spans = answers.select("task", F.explode("evidence").alias("e")).select("task", clean(F.col("e.file")).alias("file"), F.col("e.start").alias("start"), F.col("e.end").alias("end"), F.lit(False).alias("full_file"))
+    whole = answers.select("task", F.explode(F.array_distinct(F.transform("referenced", clean))).alias("file")).where("file <> ''").join(spans.select("task", "file"), ["task", "file"], "left_anti")
+    return spans.union(whole.select("task", "file", F.lit(1), F.lit(None).cast("int"), F.lit(True)))
+
+
+def answer_problems(answers: DataFrame) -> DataFrame:
+    """What is wrong with answers ``(task, status, evidence, referenced)``, by name: an unknown status, evidence without a file, lines that are no range, readiness without evidence."""
+    e = F.col("evidence")
+    checks = [
+        (~F.coalesce(F.col("status").isin("ready", "abstain", "partial"), F.lit(False)), "status"), (F.exists(e, lambda x: F.coalesce(F.btrim(x["file"]), F.lit("")) == ""), "file"),
+        (F.exists(e, lambda x: ~F.coalesce((x["start"] >= 1) & (x["end"] >= x["start"]), F.lit(False))), "lines"), ((F.col("status") == "ready") & (F.size(e) == 0), "false ready"),
+    ]
+    return answers.select("task", F.filter(F.array(*[F.when(F.coalesce(test, F.lit(False)), name) for test, name in checks]), lambda x: x.isNotNull()).alias("problems"))
+
+
 def means(runs: DataFrame, key: str, *measures: str) -> DataFrame:
     """Means over the runs that have the measure, null where none has; ``evidence`` if any run brought some."""
     return runs.groupBy(key).agg(*[F.avg(m).alias(m) for m in measures], F.count("*").alias("runs"), F.bool_or(reduce(Column.__or__, [F.col(m).isNotNull() for m in measures])).alias("evidence"))

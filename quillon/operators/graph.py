@@ -22,7 +22,7 @@ def degrees(edges: DataFrame) -> DataFrame:
 def stats(edges: DataFrame) -> DataFrame:
     """Nodes with out-edges, edges, and edges a node to one digit."""
     e = edges.select("src", "dst").distinct().agg(F.countDistinct("src").alias("nodes"), F.count("*").alias("edges"))
-    return e.withColumn("average", F.round(F.coalesce(F.col("edges") / F.col("nodes"), F.lit(0.0)), 1))
+    return e.withColumn("average", F.round(F.coalesce(F.try_divide("edges", "nodes"), F.lit(0.0)), 1))
 
 
 def importers(edges: DataFrame) -> DataFrame:
@@ -85,6 +85,86 @@ def paths(edges: DataFrame, starts: DataFrame, hops: int = 3, direction: str = "
     return found.withColumn("n", F.row_number().over(Window.partitionBy("start").orderBy("hops", "path"))).where(F.col("n") <= most).drop("n")
 
 
+def capped_paths(edges: DataFrame, starts: DataFrame, hops: int = 3, direction: str = "out", nodes: int = 100, most: int = 200, inspections: int = 1000) -> DataFrame:
+    """:func:`paths` in breadth-first order, neighbours by name, within bounds for each start; ``truncated`` says whether a bound was met.
+
+    ``inspections`` bounds the edges looked at, ``nodes`` the distinct nodes entered, the start among them, ``most`` the paths. A node over its
+    bound is not entered, and nothing behind it.
+    """
+    e = edges.select("src", "dst").distinct()
+    if direction == "in":
+        e = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    level = starts.select(F.col("node").alias("start"), F.array("node").alias("path"))
+    found = None
+    for k in range(1, hops + 1):
+        step = level.withColumn("src", F.element_at("path", -1)).join(e, "src").select("start", F.lit(k).alias("hops"), F.concat("path", F.array("dst")).alias("path"), (~F.array_contains("path", F.col("dst"))).alias("simple"))
+        # No more than one over the bound can matter in any level.
+        step = step.withColumn("n", F.row_number().over(Window.partitionBy("start").orderBy("path"))).where(F.col("n") <= inspections + 1).drop("n")
+        found = step if found is None else found.union(step)
+        level = step.where("simple").select("start", "path")
+    first = found.where("simple").groupBy("start", F.element_at("path", -1).alias("node")).agg(F.min(F.struct("hops", "path")).alias("at"))
+    kept = first.withColumn("n", F.row_number().over(Window.partitionBy("start").orderBy("at"))).where(F.col("n") < nodes).groupBy("start").agg(F.collect_set("node").alias("kept"))
+    rows = found.join(kept, "start").withColumn("enters", F.array_contains("kept", F.element_at("path", -1)))
+    rows = rows.where(F.forall(F.slice("path", 2, F.size("path") - 2), lambda x: F.array_contains("kept", x)))
+    order = Window.partitionBy("start").orderBy("hops", "path")
+    rows = rows.withColumn("i", F.row_number().over(order)).withColumn("p", F.sum((F.col("simple") & F.col("enters")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    over = (F.col("i") > inspections) | (F.col("simple") & ((F.col("p") > most) | ~F.col("enters")))
+    rows = rows.withColumn("truncated", F.max(over).over(Window.partitionBy("start")))
+    return rows.where(F.col("simple") & F.col("enters") & (F.col("i") <= inspections) & (F.col("p") <= most)).select("start", "hops", "path", "truncated")
+
+
+def cycle_groups(edges: DataFrame, keep) -> DataFrame:
+    """``node, group`` of every node that lies on a cycle of any length; the group is the smallest node that it can reach and be reached from.
+
+    Strongly connected components by colouring: nodes without a way in or out go first; then each node takes the smallest node that reaches it as
+    colour, and those of a colour that reach that node back are its component. ``keep(df, name)`` writes a round's table to shared storage and reads it back.
+    """
+    left = keep(edges.where("src <> dst").select("src", "dst").distinct(), "edges")
+    found = left.select(F.col("src").alias("node"), F.col("src").alias("group")).limit(0)
+    n = left.count()
+    while n:
+        inner = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+        inner = keep(inner, "inner")
+        if (m := inner.count()) < n:
+            left, n = inner, m
+            continue
+        colour = keep(left.select(F.col("src").alias("node")).distinct().withColumn("colour", F.col("node")), "colour")
+        while True:
+            came = left.join(colour, F.col("src") == F.col("node")).groupBy("dst").agg(F.min("colour").alias("via"))
+            new = keep(colour.join(came, F.col("node") == F.col("dst"), "left").select("node", F.least("colour", F.coalesce("via", "colour")).alias("colour"), (F.col("via") < F.col("colour")).alias("moved")), "colour")
+            colour = new.select("node", "colour")
+            if new.where("moved").isEmpty():
+                break
+        shade = colour.select(F.col("node").alias("of"), F.col("colour").alias("shade"))
+        inside = left.join(colour, F.col("src") == F.col("node")).join(shade, (F.col("dst") == F.col("of")) & (F.col("colour") == F.col("shade"))).select("src", "dst", "colour")
+        inside = keep(inside, "inside")
+        group = keep(colour.where("node = colour"), "group")
+        size = group.count()
+        while True:
+            back = inside.join(group.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node"), "colour")
+            group = keep(group.union(back).distinct(), "group")
+            if (now := group.count()) == size:
+                break
+            size = now
+        found = found.union(group.select("node", F.col("colour").alias("group")))
+        left = keep(left.join(group.select(F.col("node").alias("src")), "src", "left_anti").join(group.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"), "edges")
+        n = left.count()
+    many = found.groupBy("group").agg(F.count("*").alias("nodes")).where("nodes > 1")
+    return found.join(many.select("group"), "group", "left_semi").select("node", "group")
+
+
+def stats_or_files(edges: DataFrame, files: DataFrame) -> DataFrame:
+    """:func:`stats`; where no node has an edge out, ``nodes`` are the distinct files."""
+    n = files.agg(F.countDistinct("path").alias("files"))
+    return stats(edges).join(F.broadcast(n)).select(F.coalesce(F.nullif("nodes", F.lit(0)), "files").alias("nodes"), "edges", "average")  # one row each
+
+
+def pending(edges: DataFrame, current: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges whose target is indexed, with its ``fingerprint``, and those whose target isn't, each ``(src, line, specifier)`` once."""
+    now = current.select(F.col("path").alias("dst"), "fingerprint")
+    return edges.join(now, "dst"), edges.join(now, "dst", "left_anti").dropDuplicates(["src", "line", "specifier"])
+
+
 def short_cycles(edges: DataFrame) -> DataFrame:
     """All simple cycles of two or three nodes, each once, from its smallest node: ``nodes, length``."""
     e = edges.where("src <> dst").select("src", "dst").distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions import scores
+from quillon.functions import paths, scores
 
 
 def frequencies(observed: DataFrame) -> DataFrame:
@@ -82,6 +82,28 @@ def library_use(imports: DataFrame, builtin: tuple[str, ...] = (), examples: int
     return rows.groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("file").alias("files"), F.array_join(first, ",").alias("examples"))
 
 
+def package_use(imports: DataFrame, examples: int = 10) -> DataFrame:
+    """For each package ``source``: distinct places ``(path, line)``, a place being named by the last four segments of its path, and the first of them."""
+    rows = imports.where(~F.col("source").startswith(".")).select("source", paths.tail(F.col("path"), 4).alias("file"), "line").distinct()
+    first = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("file", "line"))), 1, examples), lambda p: F.concat_ws(":", p["file"], p["line"].cast("string")))
+    return rows.groupBy("source").agg(F.count("*").alias("places"), F.countDistinct("file").alias("files"), F.array_join(first, ",").alias("examples"))
+
+
+def first_dependencies(found: DataFrame) -> DataFrame:
+    """One row a dependency ``(name, version, place)``: what its first place states."""
+    return found.groupBy("name").agg(F.min_by("version", "place").alias("version"))
+
+
+def united(parts: DataFrame, key: str, *lists: str) -> DataFrame:
+    """Lists of several parts ``(key, place, …)`` as one: every element once, sorted."""
+    return parts.groupBy(key).agg(*[F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c) for c in lists])
+
+
+def with_dates(observed: DataFrame, dates: DataFrame) -> DataFrame:
+    """Observations ``(…, file)`` with ``ts``, when their file was last changed; null where nothing is known of it."""
+    return observed.drop("ts").join(dates.select(F.col("path").alias("file"), "ts"), "file", "left")
+
+
 def merged_dependencies(found: DataFrame) -> DataFrame:
     """One row a dependency: the version of the last package, and of its last kind, that states it; without its range mark."""
     return found.groupBy("name").agg(F.regexp_replace(F.max_by("version", F.struct("package", "kind")), r"^[\^~]", "").alias("version"))

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Words of a patch that name nothing.
-NOISE = ["const", "let", "var", "function", "return", "import", "export", "from", "class", "interface", "type", "async", "await", "new", "this", "true", "false", "null", "undefined", "string", "number", "boolean", "def", "self", "none", "else", "for", "while", "the", "and", "not"]
+# Words of a patch that name nothing.
+NOISE = [
+    "abstract", "any", "array", "async", "await", "boolean", "break", "case", "catch", "class", "const", "continue", "debugger", "declare", "default", "delete", "else", "enum", "export", "extends", "false", "finally",
+    "for", "from", "func", "function", "implements", "import", "interface", "let", "map", "namespace", "never", "new", "null", "number", "object", "package", "private", "protected", "public", "readonly", "return", "self",
+    "static", "string", "struct", "super", "switch", "this", "throw", "true", "try", "type", "typeof", "undefined", "unknown", "using", "var", "void", "while", "with", "yield",
+]
 IDENTIFIER = r"([A-Za-z_$][A-Za-z0-9_$]*)"
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import paths, scores, text
+from quillon.operators import detail
 
 RRF_K = 60
 
@@ -77,6 +78,65 @@ def fused(lists: DataFrame, weights: float = 1.0) -> DataFrame:
     return lists.groupBy("query_id", "id").agg((F.sum(F.col("weight") / (RRF_K + F.col("rank"))) / (weights / RRF_K)).alias("rrf"), F.count("*").alias("lists"))
 
 
+# How much each field of a chunk counts for a keyword; a path counts as itself and as its relative form.
+FIELDS = {"content": 0.4, "name": 0.25, "path": 0.15 + 0.15, "kind": 0.15, "layer": 0.1, "tags": 0.15}
+
+
+def path_tokens(query: Column) -> Column:
+    """Last segments of the words of a query that look like paths or file names, in lower case."""
+    parts = F.filter(F.split(F.lower(query), r"[\s'\"`(),;]+"), lambda w: w.rlike(r"[\w-]+[./][\w./-]*\w$"))
+    return F.array_distinct(F.transform(parts, lambda w: F.element_at(F.split(w, "/"), -1)))
+
+
+def nominated(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``query_id, id, strength`` of chunks whose file a query names: 2 by its base name, 1 without its extension. An equi-join on names."""
+    asked = queries.select("query_id", F.explode(path_tokens(F.col("query"))).alias("token")).distinct()
+    base = F.lower(paths.base_name(F.col("path")))
+    names = F.array(F.struct(base.alias("token"), F.lit(2).alias("strength")), F.struct(F.regexp_replace(base, r"\.[^.]*$", "").alias("token"), F.lit(1).alias("strength")))
+    own = chunks.select("id", F.explode(names).alias("n")).select("id", "n.token", "n.strength")
+    stems = asked.select("query_id", F.explode(F.array_distinct(F.array("token", F.regexp_replace("token", r"\.[^.]*$", "")))).alias("token"))
+    return stems.join(own, "token").groupBy("query_id", "id").agg(F.max("strength").alias("strength"))
+
+
+def keyword_weighted(queries: DataFrame, chunks: DataFrame, keep: int = 50) -> DataFrame:
+    """``query_id, id, score, strength, exact, rank``: chunks ``(id, content, name, path, kind, layer, tags)`` that hold all of a query's terms, and those it names.
+
+    The score is the weighted share of terms in each field; then an exact declaration adds 0.3, the file's name as query 0.2, the query within the path 0.1 and a named
+    file 0.45 or 0.25, never beyond 1. Named files come first, then exact declarations, then scores.
+    """
+    asked = queries.select("query_id", F.array_distinct(text.query_terms(F.col("query"))).alias("t")).select("query_id", F.explode("t").alias("term"), F.size("t").alias("needed"))
+    lists = {c: text.query_terms(F.col(c) if c != "tags" else F.array_join("tags", " ")) for c in FIELDS}
+
+    def posted(field: str) -> Column:
+        terms = F.array_distinct(F.coalesce(lists[field], F.array().cast("array<string>")))
+        return F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(field).alias("field"), F.lit(FIELDS[field]).alias("weight")))
+
+    every = [posted(c) for c in FIELDS]
+    posts = chunks.select("id", F.explode(F.concat(*every)).alias("p")).select("id", "p.*").join(asked.select("term").distinct(), "term", "left_semi")
+    hit = asked.join(posts, "term").groupBy("query_id", "id", "needed").agg(F.countDistinct("term").alias("matched"), F.sum("weight").alias("mass"))
+    hit = hit.where("matched = needed").select("query_id", "id", (F.col("mass") / F.col("needed") / sum(FIELDS.values())).alias("base"), F.lit(0).alias("strength"))
+    both = hit.union(nominated(queries, chunks).select("query_id", "id", F.lit(0.0), "strength")).groupBy("query_id", "id").agg(F.max("base").alias("score"), F.max("strength").alias("strength"))
+    rows = both.join(chunks.select("id", "name", "path"), "id").join(queries.select("query_id", "query"), "query_id")
+    low, base = F.lower("query"), F.lower(paths.base_name(F.col("path")))
+    rows = rows.withColumn("exact", F.coalesce(detail.exact_declaration(F.array("name"), F.col("query")), F.lit(False)))
+    same = (base == low) | (F.regexp_replace(base, r"\.ts$", "") == F.regexp_replace(low, r"\.ts$", ""))
+    strength = F.when(F.col("strength") == 2, 0.45).when(F.col("strength") == 1, 0.25).otherwise(0.0)
+    for boost in (F.when(F.col("exact"), 0.3).otherwise(0.0), F.when(same, 0.2).otherwise(0.0), F.when(F.contains(F.lower("path"), low), 0.1).otherwise(0.0), strength):
+        rows = rows.withColumn("score", F.least(F.lit(1.0), F.col("score") + boost))
+    return ranked(rows, [F.desc("strength"), F.desc("exact"), F.desc("score"), F.asc("id")], keep).select("query_id", "id", "score", "strength", "exact", "rank")
+
+
+def searchable(chunks: DataFrame, most: int = 5000, order: str = "ordinal") -> DataFrame:
+    """The first ``most`` chunks in the order of a scan, with ``partial``, whether there are more; only those that stay are sorted."""
+    over = chunks.select(F.lit(1)).limit(most + 1).agg((F.count("*") > most).alias("partial"))
+    return chunks.orderBy(order).limit(most).join(F.broadcast(over))  # one row
+
+
+def compact(rows: DataFrame, most: int = 6, **lists: int) -> DataFrame:
+    """The first ``most`` results of each query, their list columns cut to the lengths given."""
+    return rows.where(F.col("rank") < most).withColumns({c: F.slice(c, 1, n) for c, n in lists.items()})
+
+
 def rescued(queries: DataFrame, rows: DataFrame, key: str, body: str) -> DataFrame:
     """Rows that hold at least two of a query's clues, in any inflection: ``clues`` and ``density``."""
     q = queries.select("query_id", F.posexplode(text.clues(F.col("query"))).alias("n", "word")).select("query_id", "n", F.explode(text.aliases(F.col("word"))).alias("alias"))

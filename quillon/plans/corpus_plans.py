@@ -167,6 +167,3 @@ def path_forms(spark: SparkSession, d: str) -> DataFrame:
     return files(spark, d).select("path", F.element_at(F.split("path", "/"), 1).alias("owner"), paths.tail(p, 2).alias("short"), paths.redacted(p).alias("hidden"))
 
 
-@query()
-def small_chunk_merge(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.merge_small(chunking.line_chunks(table(spark, d, "documents"), 3), 15)

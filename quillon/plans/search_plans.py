@@ -85,18 +85,10 @@ def lexical_aliases(spark: SparkSession, d: str) -> DataFrame:
     return w.select("word", F.array_join(text.aliases(F.col("word")), " ").alias("aliases"))
 
 
-@query(r"""SELECT p_partkey, p_name || 'XMLParserTest' || p_size AS name, array_to_string(regexp_extract_all(regexp_replace(regexp_replace(p_name || 'XMLParserTest' || p_size, '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '([a-z0-9])([A-Z])', '\1 \2', 'g'), '[a-zA-Z0-9]+'), ' ') AS words FROM part WHERE p_name NOT LIKE '%s'""")
+@query(r"""SELECT p_partkey, p_name || 'XMLParserTest' || p_size AS name, array_to_string(list_transform(regexp_extract_all(regexp_replace(regexp_replace(p_name || 'XMLParserTest' || p_size, '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '([a-z0-9])([A-Z])', '\1 \2', 'g'), '[a-zA-Z0-9]+'), lambda x: lower(x)), ' ') AS words FROM part""")
 def camel_words(spark: SparkSession, d: str) -> DataFrame:
     name = F.concat("p_name", F.lit("XMLParserTest"), F.col("p_size").cast("string"))
-    spaced = F.regexp_replace(F.regexp_replace(name, "([A-Z]+)([A-Z][a-z])", "$1 $2"), "([a-z0-9])([A-Z])", "$1 $2")
-    return table(spark, d, "part").where(~F.col("p_name").endswith("s")).select("p_partkey", name.alias("name"), F.array_join(F.regexp_extract_all(spaced, F.lit("([a-zA-Z0-9]+)"), 1), " ").alias("words"))
-
-
-@query(r"""SELECT p_partkey, p_name || 'XMLParserTest' || p_size AS name, array_to_string(regexp_extract_all(regexp_replace(regexp_replace(p_name || 'XMLParserTest' || p_size, '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '([a-z0-9])([A-Z])', '\1 \2', 'g'), '[a-zA-Z0-9]+'), ' ') AS words FROM part""")
-def camel_words_all(spark: SparkSession, d: str) -> DataFrame:
-    name = F.concat("p_name", F.lit("XMLParserTest"), F.col("p_size").cast("string"))
-    spaced = F.regexp_replace(F.regexp_replace(name, "([A-Z]+)([A-Z][a-z])", "$1 $2"), "([a-z0-9])([A-Z])", "$1 $2")
-    return table(spark, d, "part").select("p_partkey", name.alias("name"), F.array_join(F.regexp_extract_all(spaced, F.lit("([a-zA-Z0-9]+)"), 1), " ").alias("words"))
+    return table(spark, d, "part").select("p_partkey", name.alias("name"), F.array_join(text.words(name), " ").alias("words"))
 
 
 @query(f"""WITH {FILES_SQL}, q AS (SELECT DISTINCT 'src' AS a), f AS (SELECT path, lower(regexp_extract(path, '[^/]+$')) AS base FROM files)
@@ -139,40 +131,37 @@ def rescue_two_clue(spark: SparkSession, d: str) -> DataFrame:
     return search.rescued(q, table(spark, d, "documents"), "doc_id", "text").withColumn("density", F.round("density", 6))
 
 
-COS = "list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[])"
+@query(f"""WITH bw AS (SELECT item_id, unnest({WORDS_SQL}) AS w0 FROM benchmark), bs AS (SELECT item_id, {SINGULAR.replace('(w)', '(w0)').replace('(w,', '(w0,').replace(' w ', ' w0 ').replace('ELSE w END', 'ELSE w0 END')} AS w FROM bw)
+  SELECT item_id, array_to_string(list_sort(list(DISTINCT alias)), ' ') AS evidence FROM ({_alias_sql("bs")}) GROUP BY item_id""")
+def evidence_set(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").select("item_id", F.array_join(F.array_sort(text.evidence(F.col("text"))), " ").alias("evidence"))
 
 
-def _asking(spark: SparkSession, d: str, n: int) -> DataFrame:
-    return table(spark, d, "embeddings").where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), "embedding")
+COS = "list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[])"
 
 
-def _asking_50th(spark: SparkSession, d: str) -> DataFrame:
+def _asking(spark: SparkSession, d: str) -> DataFrame:
     """Every vector whose id is divisible by 50 as a query."""
     return table(spark, d, "embeddings").where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
 
 
-def _each_50th(sql: str, n: int) -> str:
-    """``sql`` with every vector whose id is divisible by 50 as a query, instead of the first ``n``."""
-    return sql.replace(f"q.vec_id < {n} ", "q.vec_id % 50 = 0 ")
-
-
-def _vector_sql(n: int, k: int, where: str = "TRUE") -> str:
-    return f"""v0 AS (SELECT q.vec_id AS query_id, v.vec_id, greatest(0, {COS}) AS score FROM embeddings v, embeddings q WHERE q.vec_id < {n} AND {where}),
+def _vector_sql(k: int, where: str = "TRUE") -> str:
+    return f"""v0 AS (SELECT q.vec_id AS query_id, v.vec_id, greatest(0, {COS}) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0 AND {where}),
   near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) - 1 AS rank FROM v0 QUALIFY rank < {k})"""
 
 
-@query(f"WITH {_vector_sql(5, 10)} SELECT query_id, vec_id, round(score, 6) AS score, rank::INTEGER AS rank FROM near")
+@query(f"WITH {_vector_sql(10)} SELECT query_id, vec_id, round(score, 6) AS score, rank::INTEGER AS rank FROM near")
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
-    return search.nearest(_asking(spark, d, 5), table(spark, d, "embeddings"), 10).withColumn("score", F.round("score", 6))
+    return search.nearest(_asking(spark, d), table(spark, d, "embeddings"), 10).withColumn("score", F.round("score", 6))
 
 
-@query(f"WITH {_vector_sql(5, 10, 'v.label = 3')} SELECT query_id, vec_id, round(score, 6) AS score, rank::INTEGER AS rank FROM near")
+@query(f"WITH {_vector_sql(10, 'v.label = 3')} SELECT query_id, vec_id, round(score, 6) AS score, rank::INTEGER AS rank FROM near")
 def vector_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
-    return search.nearest(_asking(spark, d, 5), table(spark, d, "embeddings"), 10, F.col("label") == 3).withColumn("score", F.round("score", 6))
+    return search.nearest(_asking(spark, d), table(spark, d, "embeddings"), 10, F.col("label") == 3).withColumn("score", F.round("score", 6))
 
 
-#: Two channels of each of five queries: the nearest vectors, and the documents with most of a term.
-HYBRID_SQL = f"""WITH {_vector_sql(5, 50)}, k0 AS (SELECT q.query_id, doc_id, len(string_split(text, q.term)) - 1 AS n FROM documents, (SELECT unnest([0, 1, 2, 3, 4]) AS query_id, unnest([' the ', ' de ', ' und ', ' of ', ' la ']) AS term) q),
+#: Two channels of each query: the nearest vectors, and the documents with most of one of five terms.
+HYBRID_SQL = f"""WITH {_vector_sql(50)}, k0 AS (SELECT q.query_id, doc_id, len(string_split(text, q.term)) - 1 AS n FROM documents, (SELECT vec_id AS query_id, ([' the ', ' de ', ' und ', ' of ', ' la '])[(vec_id // 50 % 5 + 1)::INT] AS term FROM embeddings WHERE vec_id % 50 = 0) q),
   kw AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, doc_id) - 1 AS rank FROM k0 WHERE n > 0 QUALIFY rank < 50),
   lists AS (SELECT query_id, vec_id AS id, rank, 0.7 AS weight FROM near UNION ALL SELECT query_id, doc_id, rank, 0.3 FROM kw), rrf AS (SELECT query_id, id, sum(weight / (60 + rank)) / (1.0 / 60) AS rrf, count(*) AS lists FROM lists GROUP BY ALL)"""
 
@@ -181,7 +170,9 @@ TERMS = [" the ", " de ", " und ", " of ", " la "]
 
 
 def _hybrid(spark: SparkSession, d: str) -> DataFrame:
-    return _fused(spark, d, _asking(spark, d, 5), spark.createDataFrame(list(enumerate(TERMS)), "query_id long, term string"))
+    asking = _asking(spark, d)
+    term = F.element_at(F.array(*map(F.lit, TERMS)), (F.floor(F.col("query_id") / 50) % 5 + 1).cast("int"))
+    return _fused(spark, d, asking, asking.select("query_id", term.alias("term")))
 
 
 def _fused(spark: SparkSession, d: str, asking: DataFrame, asked: DataFrame) -> DataFrame:
@@ -216,14 +207,14 @@ def hybrid_scored(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d, _hybrid(spark, d)).select("query_id", "id", F.round("score", 9).alias("score"))
 
 
-QUALITY_SQL = f"""WITH {_vector_sql(40, 5, "v.vec_id <> q.vec_id")}, t AS (SELECT query_id, max(score) AS top, min(score) AS third, max(score) FILTER (WHERE rank = 1) AS second, avg(score) AS average, avg((vec_id % 3 = 0)::INT) AS tests, count(*) AS n FROM near WHERE rank < 3 GROUP BY 1),
+QUALITY_SQL = f"""WITH {_vector_sql(5, "v.vec_id <> q.vec_id")}, t AS (SELECT query_id, max(score) AS top, min(score) AS third, max(score) FILTER (WHERE rank = 1) AS second, avg(score) AS average, avg((vec_id % 3 = 0)::INT) AS tests, count(*) AS n FROM near WHERE rank < 3 GROUP BY 1),
   s AS (SELECT *, top < 0.3 AS low, average < 0.32 AS weak, top - second < 0.03 AS tight, query_id % 2 = 1 AND tests >= 0.67 AS tested FROM t),
   quality AS (SELECT query_id, (low::INT + weak::INT + tight::INT + tested::INT)::INTEGER AS signals, round(greatest(0, least(1, top - CASE WHEN weak THEN 0.08 ELSE 0 END - CASE WHEN tight THEN 0.05 ELSE 0 END - CASE WHEN tested THEN 0.15 ELSE 0 END)), 2) AS confidence, top, third, n FROM s),
   judged AS (SELECT *, CASE WHEN signals >= 2 OR confidence < 0.35 THEN 'low_confidence' ELSE 'ok' END AS status FROM quality)"""
 
 
-def _quality(spark: SparkSession, d: str, asked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    asked = _asking(spark, d, 40) if asked is None else asked
+def _quality(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    asked = _asking(spark, d)
     rows = search.nearest(asked, table(spark, d, "embeddings"), 6).where("query_id <> vec_id")
     rows = search.ranked(rows.drop("rank"), [F.desc("score"), F.asc("vec_id")], 5).withColumn("test", F.col("vec_id") % 3 == 0)
     return rows, search.quality(rows, asked.select("query_id", (F.col("query_id") % 2 == 0).alias("testing")))
@@ -267,58 +258,6 @@ def second_pass_choice(spark: SparkSession, d: str) -> DataFrame:
     return _second_pass(_quality(spark, d)[1])
 
 
-#: The same searches, asked by every vector whose id is divisible by 50: as many queries as the table calls for.
-@query(_each_50th(f"WITH {_vector_sql(5, 10)} SELECT query_id, vec_id, round(score, 6) AS score, rank::INTEGER AS rank FROM near", 5))
-def vector_topk_each_50th(spark: SparkSession, d: str) -> DataFrame:
-    return search.nearest(_asking_50th(spark, d), table(spark, d, "embeddings"), 10).withColumn("score", F.round("score", 6))
-
-
-@query(_each_50th(f"WITH {_vector_sql(5, 10, 'v.label = 3')} SELECT query_id, vec_id, round(score, 6) AS score, rank::INTEGER AS rank FROM near", 5))
-def vector_topk_filtered_each_50th(spark: SparkSession, d: str) -> DataFrame:
-    return search.nearest(_asking_50th(spark, d), table(spark, d, "embeddings"), 10, F.col("label") == 3).withColumn("score", F.round("score", 6))
-
-
-_FIVE = "(SELECT unnest([0, 1, 2, 3, 4]) AS query_id, unnest([' the ', ' de ', ' und ', ' of ', ' la ']) AS term) q"
-_EACH = "(SELECT vec_id AS query_id, ([' the ', ' de ', ' und ', ' of ', ' la '])[(vec_id // 50 % 5 + 1)::INT] AS term FROM embeddings WHERE vec_id % 50 = 0) q"
-
-
-def _hybrid_50th(spark: SparkSession, d: str) -> DataFrame:
-    asking = _asking_50th(spark, d)
-    term = F.element_at(F.array(*map(F.lit, TERMS)), (F.floor(F.col("query_id") / 50) % 5 + 1).cast("int"))
-    return _fused(spark, d, asking, asking.select("query_id", term.alias("term")))
-
-
-@query(_each_50th(HYBRID_SQL, 5).replace(_FIVE, _EACH) + " SELECT query_id::BIGINT AS query_id, id, round(rrf, 6) AS rrf, lists FROM rrf")
-def hybrid_rrf_each_50th(spark: SparkSession, d: str) -> DataFrame:
-    return _hybrid_50th(spark, d).withColumn("rrf", F.round("rrf", 6))
-
-
-@query(_each_50th(SCORED_SQL, 5).replace(_FIVE, _EACH) + " SELECT query_id::BIGINT AS query_id, id, round(score, 9) AS score FROM m")
-def hybrid_scored_each_50th(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(spark, d, _hybrid_50th(spark, d)).select("query_id", "id", F.round("score", 9).alias("score"))
-
-
-@query(_each_50th(QUALITY_SQL, 40) + " SELECT query_id, signals, confidence, status FROM judged")
-def search_quality_each_50th(spark: SparkSession, d: str) -> DataFrame:
-    return _quality(spark, d, _asking_50th(spark, d))[1]
-
-
-@query(_each_50th(QUALITY_SQL, 40) + " SELECT query_id, n >= 3 AND top - third < 0.08 AS ambiguous FROM judged")
-def ambiguity_gate_each_50th(spark: SparkSession, d: str) -> DataFrame:
-    return search.ambiguous(_quality(spark, d, _asking_50th(spark, d))[0])
-
-
-@query(_each_50th(RERANKED_SQL, 40))
-def rerank_gated_each_50th(spark: SparkSession, d: str) -> DataFrame:
-    rows, _ = _quality(spark, d, _asking_50th(spark, d))
-    return search.reranked(rows, search.ambiguous(rows), lambda r: r["vec_id"].cast("double")).select("query_id", "vec_id", "final_rank")
-
-
-@query(_each_50th(SECOND_SQL, 40))
-def second_pass_choice_each_50th(spark: SparkSession, d: str) -> DataFrame:
-    return _second_pass(_quality(spark, d, _asking_50th(spark, d))[1])
-
-
 @query("""SELECT doc_id, CASE WHEN contains(lower(text), 'xie') OR contains(lower(text), 'blea') THEN 'Declining' WHEN contains(lower(text), 'tion') THEN 'Rising' ELSE 'Stable' END AS trend FROM documents""")
 def content_trend(spark: SparkSession, d: str) -> DataFrame:
     p = spark.createDataFrame([("Xie", "Declining"), ("blea", "Declining"), ("TION", "Rising"), ("a", "Stable")], "name string, trend string")
@@ -341,16 +280,9 @@ def test_candidates(spark: SparkSession, d: str) -> DataFrame:
     return search.test_candidates(f.select("path"), tests)
 
 
-@query("""WITH a AS (SELECT lang AS query_id, doc_id AS id FROM documents WHERE doc_id % 3 = 0), b AS (SELECT lang AS query_id, doc_id AS id FROM documents WHERE doc_id % 2 = 0), u AS (SELECT *, 0 AS source FROM a UNION ALL SELECT *, 1 FROM b)
-  SELECT query_id, id, min(source)::INTEGER AS source FROM u GROUP BY ALL""")
-def union_first(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "documents").select(F.col("lang").alias("query_id"), F.col("doc_id").alias("id"))
-    return search.union_first([x.where("id % 3 = 0"), x.where("id % 2 = 0")])
-
-
 @query("""WITH a AS (SELECT lang AS query_id, doc_id AS id FROM documents WHERE doc_id % 3 = 0), b AS (SELECT lang AS query_id, doc_id AS id FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 2 = 0), u AS (SELECT *, 0 AS source FROM a UNION ALL SELECT *, 1 FROM b)
   SELECT query_id, id, min(source)::INTEGER AS source FROM u GROUP BY ALL""")
-def union_first_all(spark: SparkSession, d: str) -> DataFrame:
+def union_first(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "documents").select(F.col("lang").alias("query_id"), F.col("doc_id").alias("id"))
     return search.union_first([x.where("id % 3 = 0"), x.where("id % 3 <> 0 or id % 2 = 0")])
 

@@ -11,14 +11,14 @@ from quillon.operators import chunking, manifest
 from quillon.plans.catalog import query
 from quillon.sources import files as file_sources
 from quillon.sources.generations import Store
+from quillon.sources.shared import shared_dir
 from quillon.sources.tables import FILES_SQL, files, table
 from quillon.streaming import watch
 
 
 def scratch(spark: SparkSession) -> str:
     """A folder that all processes of the session share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or ("file:///tmp/checkpoints" if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir"))
-    return f"{base.rstrip('/')}/quillon-index/{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
 
 
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)

@@ -20,9 +20,9 @@ GUIDE_PATHS = ["STYLE_GUIDE.md", "CODING_STYLE.md", "ARCHITECTURE.md", "CONTRIBU
 
 
 def ignore_pattern(line: str) -> str | None:
-    """A regular expression for one line of an ignore file; None for comments, blanks and negations."""
-    line = line.strip()
-    if not line or line[0] in "#!":
+    """A regular expression for one line of an ignore file, without the ``!`` of a negation; None for comments and blanks."""
+    line = line.strip().removeprefix("!")
+    if not line or line[0] == "#":
         return None
     rooted, folder = line.startswith("/") or "/" in line.rstrip("/"), line.endswith("/")
     parts = re.split(r"(\*\*/|\*\*|\*|\?)", line.strip("/"))
@@ -30,21 +30,41 @@ def ignore_pattern(line: str) -> str | None:
     return ("^" if rooted else "(?:^|/)") + body + ("/" if folder else "(?:/|$)")
 
 
+def is_ignored(path: Column, lines: list[str]) -> Column:
+    """Whether the last of an ignore file's lines that fits a path ignores it; a line with ``!`` takes paths back in."""
+    out = F.lit(False)
+    for line in lines:
+        if (p := ignore_pattern(line)) is not None:
+            out = F.when(path.rlike(p), F.lit(not line.strip().startswith("!"))).otherwise(out)
+    return out
+
+
 def scan(spark: SparkSession, root: str, ignore: list[str] | None = None) -> DataFrame:
     """``path, bytes, text, skip_reason`` of all files under ``root``; the text only of those that are eligible (no reason).
 
-    Reasons, first that fits: ignored, binary, not code, too large, over the cap. The cap counts in order of paths.
+    Reasons, first that fits: ignored, binary, not code, too large, over the cap. The cap counts in order of paths. Without ``ignore`` the lines
+    of the tree's own ``.gitignore`` hold. Paths and lengths decide; the bytes of files that are skipped, and of files too large, aren't read.
     """
+    if ignore is None:
+        jvm = spark.sparkContext._jvm
+        own = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/.gitignore")
+        fs, ignore = own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), []
+        if fs.exists(own):  # Spark's own readers pass over hidden files
+            stream = fs.open(own)
+            ignore = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").splitlines()
+            stream.close()
     base = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     prefix = re.sub(r"^file:/+", "/", root.rstrip("/")) + "/"
     path = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^" + re.escape(prefix), "")
-    rows = base.select(path.alias("path"), F.col("length").alias("bytes"), "content")
-    patterns = [p for p in map(ignore_pattern, ignore or []) if p]
-    ignored = paths.any_of([F.col("path").rlike(p) for p in patterns]) if patterns else F.lit(False)
+    rows = base.select(path.alias("path"), F.col("length").alias("bytes"), F.col("path").alias("place"))
+    ignored = is_ignored(F.col("path"), ignore)
     inside = F.exists(F.split(F.lower("path"), "/"), lambda s: s.isin(paths.EXCLUDED_DIRECTORIES))
     reason = F.when(ignored | inside, "ignored").when(paths.is_binary(F.col("path")), "binary").when(~paths.is_code(F.col("path")), "not code").when(F.col("bytes") > MAX_BYTES, "too large")
     rows = rows.withColumn("skip_reason", reason)
-    return rows.select("path", "bytes", F.when(F.col("skip_reason").isNull(), F.col("content").cast("string")).alias("text"), "skip_reason")
+    # The source reads a file's bytes only where they are asked for, and this filter on its length reaches it.
+    content = base.where(F.col("length") <= MAX_BYTES).select(F.col("path").alias("place"), F.col("content").cast("string").alias("text"))
+    eligible = rows.where("skip_reason is null").join(content, "place", "left").select("path", "bytes", "text", "skip_reason")
+    return eligible.union(rows.where("skip_reason is not null").select("path", "bytes", F.lit(None).cast("string"), "skip_reason"))
 
 
 def capped(files: DataFrame, most: int = MAX_FILES) -> tuple[DataFrame, DataFrame]:
@@ -52,7 +72,8 @@ def capped(files: DataFrame, most: int = MAX_FILES) -> tuple[DataFrame, DataFram
     eligible = files.where("skip_reason is null")
     kept = eligible.orderBy("path").limit(most)
     over = eligible.join(kept.select("path"), "path", "left_anti")
-    return kept, over.agg(F.count("*").alias("over"), F.slice(F.array_sort(F.collect_list("path")), 1, 20).alias("samples"))
+    first = over.select("path").orderBy("path").limit(20).agg(F.array_sort(F.collect_list("path")).alias("samples"))
+    return kept, over.agg(F.count("*").alias("over")).join(F.broadcast(first))  # one row each
 
 
 def preview(files: DataFrame) -> DataFrame:
@@ -94,7 +115,9 @@ def read_notes(spark: SparkSession, path: str) -> DataFrame:
 
 def append_notes(spark: SparkSession, path: str, new: DataFrame) -> int:
     """Add the notes whose identifier the store lacks; how many were added."""
-    have = read_notes(spark, path).select("id") if Path(path.removeprefix("file://")).exists() else new.select("id").limit(0)
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    exists = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there)
+    have = read_notes(spark, path).select("id") if exists else new.select("id").limit(0)
     fresh = new.dropDuplicates(["id"]).join(have, "id", "left_anti").select("id", "type", "category", "memory", "reason", "date", "scope")
     n = fresh.count()
     if n:

@@ -38,10 +38,13 @@ class Store:
         out.write(bytearray(text.encode()))
         out.close()
         target = path(f"{self.root}/{name}")
-        if fs.exists(target):
-            fs.delete(target, False)
-        if not fs.rename(aside, target):
-            raise OSError(f"{target} can't be replaced")
+        # One atomic step that overwrites: there is no moment without a target, and a crash leaves the old or the new one.
+        jvm = self.spark.sparkContext._jvm
+        fs.mkdirs(target.getParent())
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(target).toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        context.rename(fs.makeQualified(aside), fs.makeQualified(target), options)
 
     def _read(self, name: str) -> dict | None:
         fs, path = self._fs()
@@ -50,16 +53,43 @@ class Store:
         return json.loads("\n".join(r.value for r in self.spark.read.text(f"{self.root}/{name}").collect()))
 
     def publish(self, tables: dict[str, DataFrame], **facts: object) -> str:
-        """Write a generation and make it the current one; its name."""
+        """Write a generation and make it the current one; its name. Generations that readers hold by :meth:`pin` stay."""
         build = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
         for name, df in tables.items():
             df.write.parquet(f"{self.root}/gen={build}/{name}")
         meta = {"build": build, "format": FORMAT, "tables": {k: df.schema.jsonValue() for k, df in tables.items()}, **facts}
         self._write(f"gen={build}/meta.json", json.dumps(meta))
         self._write("current.json", json.dumps({"build": build, "format": FORMAT}))
-        self.collect()
+        self.collect(self.pins())
         return build
 
+    def pin(self, hours: float = 24) -> tuple[str, str]:
+        """Hold the current generation for so long, or until :meth:`unpin`: ``(build, pin)``."""
+        if (state := self.state()) != "committed":
+            raise ValueError(f"the index is {state}")
+        build, name = self._read("current.json")["build"], uuid.uuid4().hex
+        self._write(f"pins/{name}.json", json.dumps({"build": build, "until": time.time() + 3600 * hours}))
+        return build, name
+
+    def unpin(self, name: str) -> None:
+        fs, path = self._fs()
+        fs.delete(path(f"{self.root}/pins/{name}.json"), False)
+
+    def pins(self) -> tuple[str, ...]:
+        """Builds that readers hold; pins that are over are removed."""
+        fs, path = self._fs()
+        if not fs.exists(path(f"{self.root}/pins")):
+            return ()
+        held = set()
+        for s in fs.listStatus(path(f"{self.root}/pins")):
+            name = s.getPath().getName()
+            if not name.startswith(".") and name.endswith(".json") and (p := self._read(f"pins/{name}")):
+                if p["until"] > time.time():
+                    held.add(p["build"])
+                else:
+                    self.unpin(name.removesuffix(".json"))
+        return tuple(sorted(held))
+
     def state(self) -> str:
         """empty, incomplete (the pointer names what isn't whole), foreign (another format) or committed."""
         pointer = self._read("current.json")

@@ -50,6 +50,11 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _neighbours(spark, sf_dir, "l_suppkey", 40)
 
 
+def near_edges(spark: SparkSession, sf_dir: str, least: int) -> DataFrame:
+    """As :func:`edges`, of lines of at least that quantity."""
+    return _neighbours(spark, sf_dir, "l_suppkey", least)
+
+
 def sparse_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sparse graph: parts of the largest neighbouring lines of an order."""
     return _neighbours(spark, sf_dir, "l_partkey", 50)

@@ -27,15 +27,17 @@ def changes(spark: SparkSession, folder: str, schema: StructType | str, per_batc
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(folder)
 
 
-def refreshing(stream: DataFrame, checkpoint: str, current: Callable[[], DataFrame], publish: Callable[[DataFrame, int], None]) -> StreamingQuery:
+def refreshing(stream: DataFrame, checkpoint: str, current: Callable[[], DataFrame], publish: Callable[[DataFrame, int], None], order: str | None = None) -> StreamingQuery:
     """For every micro-batch of ``(path, hash, …)`` rows: replace what changed in ``current()`` and publish the result.
 
-    Batches run one after the other, so that changes during a refresh wait for the next; an unchanged batch publishes nothing.
+    ``order`` is a column that grows with a path's versions; of several in a batch the last counts (without one, that of the greatest hash). A row whose ``hash`` is null says
+    that its path is gone. Batches run one after the other, so that changes during a refresh wait for the next; an unchanged batch publishes nothing.
     """
     def apply(batch: DataFrame, number: int) -> None:
         now = current()
-        newest = batch.dropDuplicates(["path"])
-        touched = now.join(newest.select("path"), "path", "left_semi")
+        last = batch.groupBy("path").agg(F.max_by(F.struct(*[c for c in batch.columns if c != "path"]), order or "hash").alias("v")).select("path", "v.*")
+        newest = last.where("hash is not null")
+        touched = now.join(last.select("path"), "path", "left_semi")
         diff = manifest.diff(touched.select("path", "hash"), newest.select("path", "hash"))
         if diff.where("status <> 'unchanged'").isEmpty():
             return

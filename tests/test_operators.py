@@ -107,6 +107,26 @@ def test_merges_and_splits(spark):
     assert "\n".join(p.content for p in parts) == big.first().content and all(p.end_line - p.start_line < 6 for p in parts)
 
 
+def test_only_small_chunks_merge(spark):
+    # Ten lines and fifty stay two: each side must be small.
+    text = lambda n: "\n".join("x" * n)
+    schema = "doc_id long, start_line int, end_line int, content string, kind string, tags array<string>, owner string"
+    rows = [(1, 1, 10, text(10), "x", ["a"], None), (1, 11, 60, text(50), "x", ["a"], None), (2, 1, 3, text(3), "x", ["a", "b"], None), (2, 4, 6, text(3), "x", ["b", "c"], None), (2, 7, 9, text(3), "x", None, "Cls"), (2, 10, 12, text(3), "y", None, None)]
+    got = chunking.merge_small(spark.createDataFrame(rows, schema), 15, united=("tags",), owners=("owner",)).orderBy("doc_id", "start_line").collect()
+    assert [(r.doc_id, r.start_line, r.end_line) for r in got] == [(1, 1, 10), (1, 11, 60), (2, 1, 6), (2, 7, 9), (2, 10, 12)]
+    assert got[2].tags == ["a", "b", "c"] and got[2].content == text(6)
+
+
+def test_cuts_come_after_braces_and_comments(spark):
+    lines = ["x"] * 201
+    lines[100] = "}"
+    big = spark.createDataFrame([(1, 1, 201, "\n".join(lines), "f")], "doc_id long, start_line int, end_line int, content string, symbol string")
+    got = chunking.split_oversized(big).orderBy("start_line").collect()
+    assert [(r.start_line, r.end_line, r.symbol) for r in got] == [(1, 101, "f:1"), (102, 201, "f:2")]
+    lines[95], lines[100] = "  // note", "x"
+    assert chunking.split_oversized(big.withColumn("content", F.lit("\n".join(lines)))).orderBy("start_line").first().end_line == 96
+
+
 def test_presentation(spark):
     assert one(spark, chunking.tags(F.lit("service"), F.array(F.lit("Injectable")), F.lit(None).cast("array<string>"), F.lit(None).cast("string"), F.lit("core"), F.lit("service"), F.lit(True), F.lit(False))) == ["service", "injectable", "core", "standalone"]
     assert one(spark, chunking.preview(F.lit("a\nb foo\nfoo bar\nc\nd"), F.array(F.lit("foo"), F.lit("bar")))) == "b foo\nfoo bar\nc"
@@ -293,7 +313,7 @@ def test_review(spark):
     p = spark.createDataFrame([("a.ts", patch), ("b.png", "Binary files a and b differ")], "path string, patch string")
     assert {r.identifier: r.score for r in review.changed_identifiers(p).collect()} == {"FooBar": 6, "loadItems": 5 + 4}
     assert sorted(map(tuple, review.patch_stats(p).collect())) == [("a.ts", 2, 1, False), ("b.png", 0, 0, True)]
-    assert one(spark, review.path_words(F.lit("src/user-profile/the/card.view.ts"))) == ["card.view", "profile", "user", "src"]
+    assert one(spark, review.path_words(F.lit("src/user-profile/map/card.view.ts"))) == ["card.view", "profile", "user", "src"]  # "map" is a word that names nothing
 
 
 def test_evaluation(spark):
@@ -306,6 +326,46 @@ def test_evaluation(spark):
 # ------------------------------------------------------------------ storage
 
 
+def test_ignore_lines_take_back(spark, tmp_path):
+    for name in ("a.log.ts", "keep.log.ts", "b.ts"):
+        (tmp_path / name).write_text("x")
+    (tmp_path / ".gitignore").write_text("*.log.ts\n!keep.log.ts\n")
+    found = {r.path: (r.skip_reason, r.text) for r in sources.scan(spark, str(tmp_path)).collect()}
+    assert found["a.log.ts"] == ("ignored", None) and found["keep.log.ts"] == (None, "x") and found["b.ts"] == (None, "x")
+
+
+def test_generations_are_replaced_in_one_step_and_pinned(spark, tmp_path):
+    store = Store(spark, tmp_path.as_uri())
+    frame = spark.range(3)
+    first = store.publish({"t": frame})
+    build, pin = store.pin()
+    assert build == first
+    for _ in range(4):
+        store.publish({"t": frame})
+    assert first in store.generations() and store.pins() == (first,)
+    store.unpin(pin)
+    last = store.publish({"t": frame})
+    assert first not in store.generations() and store.meta()["build"] == last and len(store.generations()) == 3
+
+
+def test_notes_are_added_once(spark, tmp_path):
+    where = (tmp_path / "notes.json").as_uri()
+    new = spark.createDataFrame([("1", "gotcha", "a", "m", None, None, None)], "id string, type string, category string, memory string, reason string, date string, scope struct<kind:string,file:string,symbol:string>")
+    assert [sources.append_notes(spark, where, new) for _ in range(2)] == [1, 0] and sources.read_notes(spark, where).count() == 1
+
+
+def test_batches_keep_the_last_version_and_take_paths_away(spark, tmp_path):
+    state = {"df": spark.createDataFrame([("a", "1", 0), ("b", "1", 0)], "path string, hash string, version int")}
+
+    def publish(df, number):
+        state["df"] = spark.createDataFrame(df.collect(), df.schema)
+
+    folder = str(tmp_path / "in")
+    spark.createDataFrame([("a", "3", 3), ("a", "9", 2), ("b", None, 4), ("c", "1", 1)], "path string, hash string, version int").coalesce(1).write.parquet(folder)
+    watch.refreshing(watch.changes(spark, folder, "path string, hash string, version int"), str(tmp_path / "cp"), lambda: state["df"], publish, "version").awaitTermination()
+    assert {(r.path, r.hash) for r in state["df"].collect()} == {("a", "3"), ("c", "1")}
+
+
 def test_scan(spark, tmp_path):
     for name, body in {"src/a.ts": "x", "src/b.png": "x", "node_modules/c.ts": "x", "tmp/d.ts": "x", "e.md": "x", "src/big.py": "x" * (1 << 20) + "y"}.items():
         p = tmp_path / name
