@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import paths, scores, text
-from quillon.operators import analyzers, chunking, graph, health, manifest, notes, patterns, preflight, review, search, vectors
+from quillon.operators import analyzers, chunking, detail, graph, health, manifest, notes, patterns, preflight, review, search, vectors
 from quillon.sources import files as sources
 from quillon.sources import guards
 from quillon.sources.generations import Store
+from quillon.sources.shared import keeper
 
 
 @dataclass
@@ -108,10 +109,18 @@ class Project:
             v = vectors.embedded(asked.select("query_id", F.col("query").alias("content")), self.provider)
             near = search.nearest(v, chunks.select(F.col("chunk_id").alias("vec_id"), "embedding"), 50).join(asked, "query_id")
             lists = lists.union(near.select("query_id", F.col("vec_id").alias("id"), "rank", F.col("i.semantic").alias("weight")))
-        rows = search.fused(lists).join(chunks, F.col("id") == F.col("chunk_id")).join(asked, "query_id")
+        # The largest score that a query's lists can give is one.
+        most = forms.groupBy("query_id").agg((F.sum(F.col("v.weight") * F.col("i.keyword")) + (F.max("i.semantic") if self.provider is not None else F.lit(0.0))).alias("most"))
+        fused = search.fused(lists).join(most, "query_id").withColumn("rrf", F.col("rrf") / F.col("most")).drop("most")
+        rows = fused.join(chunks, F.col("id") == F.col("chunk_id")).join(asked, "query_id")
+        symbols = self.index.open("symbols")["symbols"].select(F.col("path").alias("in"), "name", F.col("kind").alias("symbol_kind"), "start")
+        own = rows.select("chunk_id", "path", "start_line", "end_line").distinct().join(symbols, (F.col("in") == F.col("path")) & F.col("start").between(F.col("start_line"), F.col("end_line")))
+        own = own.groupBy(F.col("chunk_id").alias("of")).agg(F.collect_set("name").alias("names"), F.min_by("symbol_kind", "start").alias("kind"))
+        rows = rows.join(own, F.col("chunk_id") == F.col("of"), "left")
+        exact = F.coalesce(detail.exact_declaration(F.coalesce("names", F.array().cast("array<string>")), F.col("query")), F.lit(False))
         edges = self.index.open("edges")["edges"]
         rows = rows.join(graph.centrality(edges).select("node", "centrality"), F.col("path") == F.col("node"), "left")
-        by = search.multiplier(F.lit(None).cast("string"), F.col("layer"), F.col("path"), F.col("query"), F.col("i.intent"), F.coalesce("centrality", F.lit(0.0)), F.lit(None).cast("string"), F.lit(False))
+        by = search.multiplier(F.col("kind"), F.col("layer"), F.col("path"), F.col("query"), F.col("i.intent"), F.coalesce("centrality", F.lit(0.0)), F.lit(None).cast("string"), exact)
         rows = rows.withColumn("score", F.col("rrf") * by)
         best = search.first_of_file(rows, [F.desc("score"), F.asc("start_line")], "path")
         ranked = search.ranked(best, [F.desc("score"), F.desc(paths.path_strength(F.col("path"), F.col("query"))), F.asc("path")], k)
@@ -133,6 +142,10 @@ class Project:
         c = graph.short_cycles(self.index.open("edges")["edges"])
         return c.where(F.forall("nodes", lambda n: n.startswith(scope))).withColumn("severity", scores.cycle_severity(F.col("length"))).orderBy("length", "nodes")
 
+    def cycle_groups(self) -> DataFrame:
+        """``node, group`` of all files on cycles of any length."""
+        return graph.cycle_groups(self.index.open("edges")["edges"].select("src", "dst"), keeper(self.spark))
+
     def health(self, level: str = "low", file: str | None = None) -> DataFrame:
         e = self.index.open("edges", "chunks")
         cycles = graph.short_cycles(e["edges"]).select(F.explode("nodes").alias("node")).groupBy("node").agg(F.count("*").alias("cycles"))

@@ -28,7 +28,11 @@ INTENTS = [
 ]
 #: Decision points of source text. A letter, digit or underscore is a word character here, whatever the locale.
 EDGE, STOP = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
-DECISIONS = [EDGE + r"if[ \t\n\r]*\(", EDGE + r"else[ \t\n\r]+if[ \t\n\r]*\(", EDGE + r"for[ \t\n\r]*\(", EDGE + r"while[ \t\n\r]*\(", EDGE + r"case[ \t\n\r]+", EDGE + r"catch[ \t\n\r]*\(", r"(?<=[A-Za-z0-9_])\?[ \t\n\r]*[^:]", "&&", r"\|\|"]
+# A word that a text must hold, and the pattern to count where it does. Patterns begin with the word and look back after it, so that few places are tried.
+DECISIONS = [
+    ("if", r"if(?<![A-Za-z0-9_]if)[ \t\n\r]*\("), ("else", r"else(?<![A-Za-z0-9_]else)[ \t\n\r]+if[ \t\n\r]*\("), ("for", r"for(?<![A-Za-z0-9_]for)[ \t\n\r]*\("), ("while", r"while(?<![A-Za-z0-9_]while)[ \t\n\r]*\("),
+    ("case", r"case(?<![A-Za-z0-9_]case)[ \t\n\r]+"), ("catch", r"catch(?<![A-Za-z0-9_]catch)[ \t\n\r]*\("), ("?", r"\?(?<=[A-Za-z0-9_]\?)[ \t\n\r]*[^:]"), ("&&", "&&"), ("||", r"\|\|"),
+]
 
 
 def has_word(text: Column, alternatives: str) -> Column:
@@ -110,7 +114,7 @@ def content_hash(text: Column, digits: int = 16) -> Column:
 
 def complexity(code: Column) -> Column:
     """One and the number of decision points; ``else if`` counts as both of its forms."""
-    return F.lit(1) + reduce(Column.__add__, [F.regexp_count(code, F.lit(p)) for p in DECISIONS])
+    return F.lit(1) + reduce(Column.__add__, [F.when(F.contains(code, F.lit(w)), F.regexp_count(code, F.lit(p))).otherwise(0) for w, p in DECISIONS])
 
 
 def occurrences(text: Column, identifier: Column) -> Column:

@@ -132,10 +132,12 @@ def containment(spark: SparkSession, d: str) -> DataFrame:
     items = items.withColumn("k", F.array_join(F.slice("w", 2, 5), " ")).withColumn("n", F.size("w"))
     docs = table(spark, d, "documents").select("doc_id", "text").withColumn("w", F.split("text", "[ \n]"))
     at = F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1)))
-    keys = docs.select("doc_id", "text", F.explode(F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice("w", i, 5), " ")))).alias("k"))
-    hit = keys.join(items, "k").where(F.contains("text", F.col("item")))
+    # Keys travel without the text, which is joined once to the candidates that remain.
+    keys = docs.select("doc_id", F.explode(F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice("w", i, 5), " ")))).alias("k"))
+    near = keys.join(items.where("n >= 7").select("item_id", "k"), "k").select("doc_id", "item_id").distinct()
+    hit = near.join(docs.select("doc_id", "text"), "doc_id").join(items.select("item_id", "item"), "item_id").where(F.contains("text", F.col("item")))
     odd = items.where("n < 7")
-    return hit.where("n >= 7").select("item_id", "doc_id").union(docs.join(odd, F.contains("text", F.col("item"))).select("item_id", "doc_id")).distinct().groupBy("item_id").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first"))
+    return hit.select("item_id", "doc_id").union(docs.join(odd, F.contains("text", F.col("item"))).select("item_id", "doc_id")).distinct().groupBy("item_id").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first"))
 
 
 @query(r"""SELECT doc_id, n FROM (SELECT doc_id, len(regexp_extract_all(' ' || replace(text, ' ', '  ') || ' ', '[^\p{L}\p{N}_$]the[^\p{L}\p{N}_$]')) AS n FROM documents) WHERE n > 0""")

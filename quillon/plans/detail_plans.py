@@ -14,22 +14,22 @@ from quillon.sources.tables import FILES_SQL, files, table
 RANKED = "r AS (SELECT lang AS query_id, source AS file, doc_id, text AS snippet, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) - 1 AS rank FROM documents)"
 
 
-def _ranked(spark: SparkSession, d: str) -> DataFrame:
+def _ranked(spark: SparkSession, d: str, keep: int) -> DataFrame:
     from quillon.operators.search import ranked
 
     rows = table(spark, d, "documents").select(F.col("lang").alias("query_id"), F.col("source").alias("file"), "doc_id", F.col("text").alias("snippet"), "n_chars")
-    return ranked(rows, [F.desc("n_chars"), F.asc("doc_id")])
+    return ranked(rows, [F.desc("n_chars"), F.asc("doc_id")], keep)
 
 
 @query(f"WITH {RANKED} SELECT query_id, arg_min(file, rank) AS file, min(rank)::INTEGER AS rank FROM r WHERE rank < 5 AND file IN ('src1', 'src2', 'src3', 'src4', 'src5', 'src6') GROUP BY query_id")
 def best_example(spark: SparkSession, d: str) -> DataFrame:
-    return detail.best_example(_ranked(spark, d), spark.createDataFrame([(f"src{k}",) for k in range(1, 7)], "file string"))
+    return detail.best_example(_ranked(spark, d, 5), spark.createDataFrame([(f"src{k}",) for k in range(1, 7)], "file string"))
 
 
 @query(f"WITH {RANKED}, t AS (SELECT * FROM r WHERE rank < 8), e AS (SELECT DISTINCT lang AS query_id, 'src1' AS file, 'a' AS example FROM documents) SELECT e.query_id, count(t.snippet) = 1 AND coalesce(bool_or(contains(t.snippet, example)), FALSE) AS grounded FROM e LEFT JOIN t ON t.query_id = e.query_id AND t.file = e.file GROUP BY e.query_id")
 def grounded_example(spark: SparkSession, d: str) -> DataFrame:
     examples = table(spark, d, "documents").select(F.col("lang").alias("query_id")).distinct().withColumns({"file": F.lit("src1"), "example": F.lit("a")})
-    return detail.grounded(_ranked(spark, d).where("rank < 8"), examples)
+    return detail.grounded(_ranked(spark, d, 8), examples)
 
 
 VERIFY = f"""WITH {FILES_SQL}, e AS (SELECT a.path AS src, b.path AS dst, CASE WHEN a.doc_id % 9 = 0 THEN 'short' ELSE sha256(a.text) END AS src_fp, CASE WHEN b.doc_id % 7 = 0 THEN sha256(b.text || 'x') ELSE sha256(b.text) END AS dst_fp, b.doc_id AS t

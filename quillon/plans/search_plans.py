@@ -38,7 +38,8 @@ def keyword_topk(spark: SparkSession, d: str) -> DataFrame:
     asked = _queries(spark, d)
     hits = search.keyword_matches(asked, search.postings(chunks, ["doc_id", "chunk"], "content", asked), ["doc_id", "chunk"])
     best = search.ranked(search.first_of_file(hits, [F.desc("score"), F.asc("chunk")]), [F.desc("score"), F.asc("doc_id"), F.asc("chunk")], 10)
-    return best.join(chunks, ["doc_id", "chunk"]).select("query_id", "doc_id", "chunk", "score", "rank", F.substring_index("content", "\n", 1).alias("snippet"))
+    first = F.get(F.split("text", "\n", -1), F.col("chunk") * 5)  # of the few chunks that are left, from their documents
+    return best.join(table(spark, d, "documents").select("doc_id", "text"), "doc_id").select("query_id", "doc_id", "chunk", "score", "rank", first.alias("snippet"))
 
 
 @query(f"SELECT doc_id, array_to_string({terms_sql('text')}, ' ') AS terms FROM documents")
