@@ -43,3 +43,14 @@ def test_query_equals_its_sql(spark, con, name):
     want = con.sql(catalog.ORACLE[name])
     assert sorted(want.columns) == columns
     assert rows([r.asDict() for r in got.collect()], columns) == rows([dict(zip(want.columns, r)) for r in want.fetchall()], columns)
+
+
+def test_the_catalog_stands_without_the_corpus_operators():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    # A dependency of theirs that can't be imported must not take the rest with it.
+    code = "import sys; sys.modules.update(dict.fromkeys(['ahocorasick', 'xxhash', 'public_tokenizers'])); import __spark_entry__ as e; print(e.corpus is None, len(e.queries()), len(e.oracle_sql()))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], capture_output=True, text=True, timeout=120, check=True)
+    assert done.stdout.split() == ["True", str(len(catalog.QUERIES)), str(len(catalog.ORACLE))]
