@@ -175,9 +175,9 @@ def framework_facts(files: DataFrame, key: str = "path", text: str = "text") ->
     return files.select(key, F.explode(F.filter(F.array(*facts), lambda x: x.isNotNull())).alias("x")).select(key, "x.*")
 
 
-def test_frameworks(files: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
-    """``key, kind, framework`` of test files: of each kind the one with the highest priority."""
-    found = [F.when(reduce(Column.__or__, [F.contains(text, F.lit(m)) for m in marks]), F.struct(F.lit(k).alias("kind"), F.lit(p).alias("priority"), F.lit(n).alias("framework"))) for k, n, p, marks in TESTING]
+def test_frameworks(files: DataFrame, key: str = "path", text: str = "text", table: list[tuple[str, str, int, list[str]]] | None = None) -> DataFrame:
+    """``key, kind, framework`` of test files: of each kind the one with the highest priority. ``table`` takes the place of :data:`TESTING`."""
+    found = [F.when(reduce(Column.__or__, [F.contains(text, F.lit(m)) for m in marks]), F.struct(F.lit(k).alias("kind"), F.lit(p).alias("priority"), F.lit(n).alias("framework"))) for k, n, p, marks in table or TESTING]
     rows = files.select(key, F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("x"))
     return rows.groupBy(key, "x.kind").agg(F.max_by("x.framework", "x.priority").alias("framework"))
 

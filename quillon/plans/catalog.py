@@ -26,4 +26,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import the plan modules, which register their queries."""
-    from quillon.plans import code_plans, corpus_plans, detail_plans, graph_plans, knowledge_plans, search_plans, storage_plans, structure_plans  # noqa: F401
+    from quillon.plans import code_plans, corpus_plans, detail_plans, framework_plans, graph_plans, knowledge_plans, search_plans, storage_plans, structure_plans  # noqa: F401
