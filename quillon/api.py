@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import paths, scores, text
-from quillon.operators import analyzers, chunking, detail, graph, health, manifest, notes, patterns, preflight, review, search, vectors
+from quillon.operators import analyzers, chunking, composed, detail, graph, health, manifest, notes, patterns, preflight, review, search, vectors
 from quillon.sources import files as sources
 from quillon.sources import guards
 from quillon.sources.generations import Store
@@ -94,42 +94,47 @@ class Project:
 
     # ------------------------------------------------------------------ questions
 
-    def search(self, *queries: str, k: int = 5, filters: dict[str, str] | None = None) -> DataFrame:
-        """Ranked files for each query: keywords of all variants and, with a provider, vectors, fused; best chunk of a file."""
+    def _searchable(self, filters: dict[str, str] | None = None) -> DataFrame:
+        """The index's chunks as :mod:`quillon.operators.composed` takes them."""
+        held = self.index.open("chunks", "symbols", "edges")
+        chunks = search.filtered(held["chunks"], filters or {}).withColumnRenamed("chunk_id", "id")
+        symbols = held["symbols"].select(F.col("path").alias("in"), F.col("name").alias("symbol"), F.col("kind").alias("symbol_kind"), "start")
+        own = chunks.select("id", "path", "start_line", "end_line").join(symbols, (F.col("in") == F.col("path")) & F.col("start").between(F.col("start_line"), F.col("end_line")))
+        own = own.groupBy("id").agg(F.collect_set("symbol").alias("names"), F.min_by("symbol_kind", "start").alias("kind"), F.min_by("symbol", "start").alias("name"))
+        central = graph.centrality(held["edges"]).select(F.col("node").alias("path"), "centrality")
+        rows = chunks.join(own, "id", "left").join(central, "path", "left")
+        none = F.array().cast("array<string>")
+        return rows.withColumns({"names": F.coalesce("names", none), "tags": F.array_compact(F.array("language", "layer", "kind")), "trend": F.lit(None).cast("string")})
+
+    def search(self, *queries: str, k: int = 5, filters: dict[str, str] | None = None, current: bool = False, scorer=None) -> DataFrame:
+        """Ranked files for each query: keywords with rescue and, with a provider, vectors, fused and scored; a second pass where the first is weak; best chunk of a file.
+
+        With ``current`` only files count whose bytes are still those that were indexed. ``scorer``, a function of result rows, orders close first results.
+        """
         guards.check_request([queries, filters])
-        chunks = search.filtered(self.index.open("chunks")["chunks"], filters or {})
-        asked = self.spark.createDataFrame(list(enumerate(queries)), "query_id long, query string").withColumn("i", text.intent(F.col("query")))
-        forms = asked.select("query_id", "i", F.posexplode(text.variants(F.col("query"))).alias("variant", "v"))
-        terms = forms.select(F.struct("query_id", "variant").alias("query_id"), F.explode(text.query_terms(F.col("v.query"))).alias("term"))
-        hits = search.keyword_matches(terms, search.postings(chunks, ["chunk_id"], "content", terms), ["chunk_id"], every=False)
-        words = search.ranked(hits, [F.desc("matched"), F.desc("score"), F.asc("chunk_id")], 50)
-        words = words.select("query_id.query_id", "query_id.variant", "chunk_id", "rank").join(forms.select("query_id", "variant", "v.weight", "i.keyword"), ["query_id", "variant"])
-        lists = words.select("query_id", F.col("chunk_id").alias("id"), "rank", (F.col("weight") * F.col("keyword")).alias("weight"))
-        if self.provider is not None:
-            v = vectors.embedded(asked.select("query_id", F.col("query").alias("content")), self.provider)
-            near = search.nearest(v, chunks.select(F.col("chunk_id").alias("vec_id"), "embedding"), 50).join(asked, "query_id")
-            lists = lists.union(near.select("query_id", F.col("vec_id").alias("id"), "rank", F.col("i.semantic").alias("weight")))
-        # The largest score that a query's lists can give is one.
-        most = forms.groupBy("query_id").agg((F.sum(F.col("v.weight") * F.col("i.keyword")) + (F.max("i.semantic") if self.provider is not None else F.lit(0.0))).alias("most"))
-        fused = search.fused(lists).join(most, "query_id").withColumn("rrf", F.col("rrf") / F.col("most")).drop("most")
-        rows = fused.join(chunks, F.col("id") == F.col("chunk_id")).join(asked, "query_id")
-        symbols = self.index.open("symbols")["symbols"].select(F.col("path").alias("in"), "name", F.col("kind").alias("symbol_kind"), "start")
-        own = rows.select("chunk_id", "path", "start_line", "end_line").distinct().join(symbols, (F.col("in") == F.col("path")) & F.col("start").between(F.col("start_line"), F.col("end_line")))
-        own = own.groupBy(F.col("chunk_id").alias("of")).agg(F.collect_set("name").alias("names"), F.min_by("symbol_kind", "start").alias("kind"))
-        rows = rows.join(own, F.col("chunk_id") == F.col("of"), "left")
-        exact = F.coalesce(detail.exact_declaration(F.coalesce("names", F.array().cast("array<string>")), F.col("query")), F.lit(False))
-        edges = self.index.open("edges")["edges"]
-        rows = rows.join(graph.centrality(edges).select("node", "centrality"), F.col("path") == F.col("node"), "left")
-        by = search.multiplier(F.col("kind"), F.col("layer"), F.col("path"), F.col("query"), F.col("i.intent"), F.coalesce("centrality", F.lit(0.0)), F.lit(None).cast("string"), exact)
-        rows = rows.withColumn("score", F.col("rrf") * by)
-        best = search.first_of_file(rows, [F.desc("score"), F.asc("start_line")], "path")
-        ranked = search.ranked(best, [F.desc("score"), F.desc(paths.path_strength(F.col("path"), F.col("query"))), F.asc("path")], k)
-        return ranked.select("query_id", "rank", "path", "start_line", "end_line", F.round("score", 4).alias("score"), chunking.preview(F.col("content"), text.query_terms(F.col("query"))).alias("preview"))
+        chunks = self._searchable(filters)
+        asked = self.spark.createDataFrame(list(enumerate(queries)), "query_id long, query string")
+        fresh = None
+        if current:
+            kept, _ = sources.capped(sources.scan(self.spark, self.root, self.ignore or None))
+            fresh = manifest.manifest(kept).join(self.index.open("manifest")["manifest"], ["path", "hash"], "left_semi")
+
+        def near(forms: DataFrame) -> DataFrame:
+            v = vectors.embedded(forms.select("query_id", F.col("query").alias("content")), self.provider)
+            return search.nearest(v, chunks.select(F.col("id").alias("vec_id"), "embedding"), 50).select("query_id", F.col("vec_id").alias("id"), "rank")
+
+        if fresh is not None:
+            chunks = chunks.join(fresh.select("path"), "path", "left_semi")
+        keep = keeper(self.spark)
+        chunks = keep(chunks, "chunks")
+        found = composed.searched(asked, chunks, keep, k, near if self.provider is not None else None, scorer)
+        rows = found.join(chunks.select("id", "start_line", "end_line", "content"), "id").join(asked, "query_id")
+        return rows.select("query_id", "rank", "path", "start_line", "end_line", F.round("score", 4).alias("score"), chunking.preview(F.col("content"), text.query_terms(F.col("query"))).alias("preview"), "chosen", "status", "confidence")
 
     def search_quality(self, *queries: str) -> DataFrame:
         rows = self.search(*queries).withColumn("test", paths.is_test(F.col("path")))
         asked = self.spark.createDataFrame(list(enumerate(queries)), "query_id long, query string")
-        return search.quality(rows, asked.select("query_id", text.has_word(F.col("query"), "tests?|testing|spec|mock").alias("testing")))
+        return composed.judged(rows, asked)
 
     def references(self, symbol: str, limit: int = 10) -> DataFrame:
         """Files that name a symbol, most uses first, with the first line."""

@@ -137,17 +137,21 @@ def compact(rows: DataFrame, most: int = 6, **lists: int) -> DataFrame:
     return rows.where(F.col("rank") < most).withColumns({c: F.slice(c, 1, n) for c, n in lists.items()})
 
 
-def rescued(queries: DataFrame, rows: DataFrame, key: str, body: str) -> DataFrame:
-    """Rows that hold at least two of a query's clues, in any inflection: ``clues`` and ``density``."""
+def clue_hits(queries: DataFrame, rows: DataFrame, key: list[str], body: str) -> DataFrame:
+    """``query_id, *key, n, tf``: how often the n-th clue of a query stands in a row, in any inflection."""
     q = queries.select("query_id", F.posexplode(text.clues(F.col("query"))).alias("n", "word")).select("query_id", "n", F.explode(text.aliases(F.col("word"))).alias("alias"))
-    words = rows.select(key, text.words(F.col(body)).alias("words"))
-    total = words.select(key, F.size("words").alias("n_words"))
     # Aliases are taken of the vocabulary, not of every occurrence; only words that some clue matches go on to the count.
-    seen = words.select(key, F.explode("words").alias("w"))
+    seen = rows.select(*key, F.explode(text.words(F.col(body))).alias("w"))
     vocabulary = seen.select("w").distinct().select("w", F.explode(text.aliases(F.col("w"))).alias("alias"))
     wanted = q.join(vocabulary, "alias").select("query_id", "n", "w").distinct()
-    tf = wanted.join(seen, "w").groupBy("query_id", key, "n", "w").agg(F.count("*").alias("tf"))
-    hit = tf.groupBy("query_id", key, "n").agg(F.max("tf").alias("tf")).groupBy("query_id", key).agg(F.count("*").alias("clues"), F.sum(F.sqrt("tf")).alias("mass"))
+    tf = wanted.join(seen, "w").groupBy("query_id", *key, "n", "w").agg(F.count("*").alias("tf"))
+    return tf.groupBy("query_id", *key, "n").agg(F.max("tf").alias("tf"))
+
+
+def rescued(queries: DataFrame, rows: DataFrame, key: str, body: str) -> DataFrame:
+    """Rows that hold at least two of a query's clues, in any inflection: ``clues`` and ``density``."""
+    total = rows.select(key, F.size(text.words(F.col(body))).alias("n_words"))
+    hit = clue_hits(queries, rows, [key], body).groupBy("query_id", key).agg(F.count("*").alias("clues"), F.sum(F.sqrt("tf")).alias("mass"))
     return hit.where("clues >= 2").join(total, key).select("query_id", key, "clues", (F.col("mass") / F.sqrt("n_words")).alias("density"))
 
 
@@ -206,9 +210,9 @@ def reranked(rows: DataFrame, gate: DataFrame, scorer=None, k: int = 10) -> Data
 
 
 def better_pass(first: DataFrame, second: DataFrame, gain: float = 0.05) -> DataFrame:
-    """For each query which of two quality rows to keep: the second if it alone is good, or surer by over ``gain``; a good first is kept."""
+    """For each query which of two quality rows to keep. A good first is kept; else the second if it is good and no less sure, or surer by ``gain``."""
     s = second.select("query_id", F.col("status").alias("s2"), F.col("confidence").alias("c2"))
-    wins = (F.col("status") != "ok") & F.col("s2").isNotNull() & ((F.col("s2") == "ok") | (F.col("c2") > F.col("confidence") + gain))
+    wins = (F.col("status") != "ok") & F.col("s2").isNotNull() & (((F.col("s2") == "ok") & (F.col("c2") >= F.col("confidence"))) | (F.col("c2") >= F.col("confidence") + gain))
     return first.join(s, "query_id", "left").select("query_id", F.when(wins, "second").otherwise("first").alias("chosen"))
 
 

@@ -245,7 +245,7 @@ def rerank_gated(spark: SparkSession, d: str) -> DataFrame:
 
 SECOND_SQL = (
     QUALITY_SQL + """, b AS (SELECT query_id, CASE WHEN query_id % 3 = 0 THEN 'ok' ELSE 'low_confidence' END AS s2, query_id % 10 / 10.0 AS c2 FROM judged)
-  SELECT query_id, CASE WHEN status <> 'ok' AND (s2 = 'ok' OR c2 > confidence + 0.05) THEN 'second' ELSE 'first' END AS chosen FROM judged JOIN b USING (query_id)"""
+  SELECT query_id, CASE WHEN status <> 'ok' AND ((s2 = 'ok' AND c2 >= confidence) OR c2 >= confidence + 0.05) THEN 'second' ELSE 'first' END AS chosen FROM judged JOIN b USING (query_id)"""
 )
 
 

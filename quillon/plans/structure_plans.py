@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import scores
-from quillon.operators import analyzers, chunking, evals, graph, patterns, search
+from quillon.operators import analyzers, chunking, composed, evals, graph, patterns, search
 from quillon.plans.catalog import query
 from quillon.plans.code_plans import CODE_PATH, CODE_TEXT, code
 from quillon.plans.search_plans import terms_sql
@@ -249,6 +249,14 @@ NOMINATED_SQL = f"""c AS (SELECT p_partkey AS id, {CODE_TEXT} AS content, 'Part'
   named AS (SELECT query_id, id, 2 AS strength FROM q JOIN c ON regexp_extract(query, 'f[0-9]+[.]ts$') = regexp_extract(path, '[^/]+$'))"""
 
 
+@query()
+def search_full(spark: SparkSession, d: str) -> DataFrame:
+    """Every stage of a search for each 50th part's question. Iterated ranks and two passes aren't put into SQL; its parts have their own, and tests hold it against a search by hand."""
+    queries, chunks = _asked_chunks(spark, d)
+    chunks = chunks.select("*", F.lit(1).alias("start_line"), F.array("name").alias("names"), F.lit(0.0).alias("centrality"), F.lit(None).cast("string").alias("trend"))
+    return composed.searched(queries, chunks, keeper(spark)).select("query_id", "id", "rank", F.round("score", 6).alias("score"), "chosen", "status", "confidence")
+
+
 @query(f"WITH {NOMINATED_SQL} SELECT * FROM named")
 def nominated_files(spark: SparkSession, d: str) -> DataFrame:
     return search.nominated(*_asked_chunks(spark, d))

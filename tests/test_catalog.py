@@ -12,7 +12,7 @@ from quillon.plans import catalog
 catalog.load()
 SMALL = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-ROWS_ONLY: set[str] = set()
+ROWS_ONLY = {"search_full"}
 
 
 @pytest.fixture(scope="module")
