@@ -87,6 +87,20 @@ class Project:
         new["chunks"] = manifest.rebuilt(old["chunks"], changes, self._tables(touched)["chunks"].select(*old["chunks"].columns))
         return self._publish(new)
 
+    def heal(self) -> str:
+        """Mend an index that can't be opened, and say how: nothing was wrong, recovered (an earlier whole generation is current again), rebuilt, or refused, as it isn't ours."""
+        state = self.index.state()
+        if state == "foreign":
+            return "refused"
+        if state == "committed":
+            meta = self.index.meta()
+            if not self.index.problems(meta["build"]):
+                return "nothing"
+        elif self.index.recover() is not None:
+            return "recovered"
+        self.build()
+        return "rebuilt"
+
     def status(self) -> dict[str, object]:
         """The index's state and its counts."""
         state = self.index.state()

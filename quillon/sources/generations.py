@@ -47,16 +47,25 @@ class Store:
         context.rename(fs.makeQualified(aside), fs.makeQualified(target), options)
 
     def _read(self, name: str) -> dict | None:
+        """A small JSON file; None without one, an empty one if it isn't an object of JSON."""
         fs, path = self._fs()
         if not fs.exists(path(f"{self.root}/{name}")):
             return None
-        return json.loads("\n".join(r.value for r in self.spark.read.text(f"{self.root}/{name}").collect()))
+        stream = fs.open(path(f"{self.root}/{name}"))
+        try:
+            found = json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        except ValueError:
+            found = {}
+        finally:
+            stream.close()
+        return found if isinstance(found, dict) else {}
 
     def publish(self, tables: dict[str, DataFrame], **facts: object) -> str:
         """Write a generation and make it the current one; its name. Generations that readers hold by :meth:`pin` stay."""
         build = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
         for name, df in tables.items():
             df.write.parquet(f"{self.root}/gen={build}/{name}")
+            self._write(f"gen={build}/{name}/_build.json", json.dumps({"build": build, "format": FORMAT}))  # Spark's readers pass over names with an underscore
         meta = {"build": build, "format": FORMAT, "tables": {k: df.schema.jsonValue() for k, df in tables.items()}, **facts}
         self._write(f"gen={build}/meta.json", json.dumps(meta))
         self._write("current.json", json.dumps({"build": build, "format": FORMAT}))
@@ -91,14 +100,46 @@ class Store:
         return tuple(sorted(held))
 
     def state(self) -> str:
-        """empty, incomplete (the pointer names what isn't whole), foreign (another format) or committed."""
+        """What lies under the root.
+
+        Without a pointer: empty, unfinished (generations, none of them whole) or recoverable (one is whole, but was never published). With one: committed,
+        incomplete (it names what isn't whole), legacy (an older format) or foreign (a newer format, or no pointer of ours).
+        """
         pointer = self._read("current.json")
         if pointer is None:
-            return "empty"
-        if pointer.get("format") != FORMAT:
+            builds = self.generations()
+            return "empty" if not builds else "recoverable" if any(map(self.whole, builds)) else "unfinished"
+        form = pointer.get("format")
+        if type(form) is not int or form > FORMAT or not isinstance(pointer.get("build"), str):
             return "foreign"
-        meta = self._read(f"gen={pointer['build']}/meta.json")
-        return "committed" if meta and meta["build"] == pointer["build"] else "incomplete"
+        if form < FORMAT:
+            return "legacy"
+        return "committed" if self.whole(pointer["build"]) else "incomplete"
+
+    def whole(self, build: str) -> bool:
+        """Whether a generation's meta file is there and its own."""
+        return (self._read(f"gen={build}/meta.json") or {}).get("build") == build
+
+    def problems(self, build: str, *names: str) -> dict[str, str]:
+        """Tables of a generation, all or those named, that don't carry its build and format, each with what is wrong."""
+        meta, found = self._read(f"gen={build}/meta.json") or {}, {}
+        for name in names or meta.get("tables", {}):
+            own = self._read(f"gen={build}/{name}/_build.json")
+            if own is None:
+                found[name] = "missing"
+            elif (own.get("build"), own.get("format")) != (build, meta.get("format")):
+                found[name] = "of another build"
+        return found
+
+    def recover(self) -> str | None:
+        """Publish the newest generation that is whole and without problems, where the pointer is missing or names nothing whole; its name."""
+        if self.state() not in ("recoverable", "incomplete"):
+            return None
+        for build in reversed(self.generations()):
+            if self.whole(build) and not self.problems(build):
+                self._write("current.json", json.dumps({"build": build, "format": FORMAT}))
+                return build
+        return None
 
     def meta(self) -> dict | None:
         """What the current generation says of itself; None unless it is whole."""
@@ -112,6 +153,8 @@ class Store:
         meta = self._read(f"gen={build}/meta.json")
         if missing := [n for n in names if n not in meta["tables"]]:
             raise ValueError(f"the generation has no {', '.join(missing)}")
+        if wrong := self.problems(build, *(names or meta["tables"])):
+            raise ValueError(f"the generation's tables aren't its own: {wrong}")
         from pyspark.sql.types import StructType
 
         return {n: self.spark.read.schema(StructType.fromJson(meta["tables"][n])).parquet(f"{self.root}/gen={build}/{n}") for n in names or meta["tables"]}
