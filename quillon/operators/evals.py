@@ -49,12 +49,19 @@ def preflight_rates(tasks: DataFrame) -> DataFrame:
     )
 
 
+def relative(path: Column, root: str = "") -> Column:
+    """A path within a repository: with slashes, without one leading ``./``, the root in any case, and leading slashes."""
+    top = root.replace("\\", "/").removesuffix("/").lower() + "/"
+    p = F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), r"^\./", "")
+    if root:
+        p = F.when(F.startswith(F.lower(p), F.lit(top)), F.substring(p, len(top) + 1, 1 << 20)).otherwise(p)
+    return F.regexp_replace(p, "^/+", "")
+
+
 def answer_files(answers: DataFrame, root: str = "") -> DataFrame:
     """``task, file, start, end, full_file`` of answers ``(task, evidence, referenced)``: a span for each piece of evidence, and the whole of files that are only referred to."""
     def clean(path: Column) -> Column:
-        p = F.regexp_replace(path, r"\\\\", "/")
-        p = F.when(F.lit(root != "") & F.startswith(p, F.lit(root.rstrip("/") + "/")), F.substring(p, len(root.rstrip("/")) + 2, 1 << 20)).otherwise(p)
-        return F.regexp_replace(F.regexp_replace(p, r"^(?:\./)+", ""), "^/+", "")
+        return relative(path, root)
 
     spans = answers.select("task", F.explode("evidence").alias("e")).select("task", clean(F.col("e.file")).alias("file"), F.col("e.start").alias("start"), F.col("e.end").alias("end"), F.lit(False).alias("full_file"))
     whole = answers.select("task", F.explode(F.array_distinct(F.transform("referenced", clean))).alias("file")).where("file <> ''").join(spans.select("task", "file"), ["task", "file"], "left_anti")
@@ -85,18 +92,35 @@ def stratified(rows: DataFrame, strata: list[str], per: int, total: int, seed: s
     return every.orderBy("turn", "h").limit(total).select(key, "turn")
 
 
+def _holding(rows: DataFrame, body: Column, tokens: DataFrame, block: int = 1000) -> DataFrame:
+    """``rows`` once for each of the ``tokens(token)`` that ``body`` holds. Tokens come in blocks of about ``block``, each one broadcast row, so that only what is found is multiplied."""
+    n = -(-tokens.count() // block) or 1
+    parts = [tokens if n == 1 else tokens.where(F.pmod(F.xxhash64("token"), F.lit(n)) == b) for b in range(n)]
+    asked = [F.broadcast(p.agg(F.collect_set("token").alias("asked"))) for p in parts]
+    return reduce(DataFrame.union, [rows.join(a).withColumn("token", F.explode(F.filter("asked", lambda t: F.contains(body, t)))).drop("asked") for a in asked])
+
+
 def lexical_baseline(files: DataFrame, queries: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
-    """Score of each query and file: 8 for every token in the path, 1 for every line with a token; and the first line with most tokens."""
+    """Score of each query and file: 8 for every token in the path, 1 for every token of a line; and the first line with most tokens. Empty tokens don't count."""
+    q = queries.select("query_id", F.lower("token").alias("token")).where("token <> ''").distinct()
+    tokens = q.select("token").distinct()
     lines = files.select(key, F.posexplode(F.split(F.lower(text), "\n", -1)).alias("line", "body"))
-    q = queries.groupBy("query_id").agg(F.collect_set(F.lower("token")).alias("tokens"))
-    count = F.size(F.filter("tokens", lambda t: F.contains("body", t)))
-    hit = lines.join(q, F.lit(True)).select("query_id", key, "line", count.alias("n")).where("n > 0")
+    found = _holding(lines, F.col("body"), tokens).select(key, "line", "token")
+    hit = found.join(q, "token").groupBy("query_id", key, "line").agg(F.count("*").alias("n"))
     body = hit.groupBy("query_id", key).agg(F.sum("n").alias("lines"), (F.max_by("line", F.struct("n", -F.col("line"))) + 1).alias("best"))
-    on_path = files.select(key).join(q, F.lit(True)).select("query_id", key, F.size(F.filter("tokens", lambda t: F.contains(F.lower(key), t))).alias("n")).where("n > 0")
+    placed = _holding(files.select(key), F.lower(key), tokens)
+    on_path = placed.join(q, "token").groupBy("query_id", key).agg(F.count("*").alias("n"))
     rows = body.join(on_path, ["query_id", key], "full_outer")
     return rows.select("query_id", key, (8 * F.coalesce("n", F.lit(0)) + F.coalesce("lines", F.lit(0))).alias("score"), "best")
 
 
+def step_files(spans: DataFrame, traces: DataFrame, root: str) -> DataFrame:
+    """``task, files`` of an answer's one step: files of its ``spans(task, file)`` and of its ``traces(task, files)``, relative to the root, once each and sorted."""
+    seen = traces.select("task", F.explode("files").alias("file")).select("task", relative(F.col("file"), root).alias("file"))
+    both = spans.select("task", "file").union(seen).where("file <> ''")
+    return both.groupBy("task").agg(F.array_sort(F.collect_set("file")).alias("files"))
+
+
 def budget(rows: DataFrame, group: str, order: str, size: Column, most: int) -> DataFrame:
     """The first rows of each group whose sizes stay within a budget together; what comes after is dropped."""
     w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

@@ -299,6 +299,14 @@ def answer_spans(spark: SparkSession, d: str) -> DataFrame:
     return evals.answer_files(_answers(spark, d), "/repo")
 
 
+@query("""WITH f AS (SELECT item_id AS task, unnest(['src/a' || item_id || '.ts', 'c' || (item_id % 3) || '.py', 'b.ts', 'lib/t' || (item_id % 4) || '.ts']) AS file FROM benchmark UNION SELECT item_id, ' ' FROM benchmark WHERE item_id % 5 <> 0 AND item_id % 7 = 0)
+  SELECT task, string_agg(file, ',' ORDER BY file) AS files FROM f GROUP BY task""")
+def step_files(spark: SparkSession, d: str) -> DataFrame:
+    traces = table(spark, d, "benchmark").selectExpr("item_id AS task", r"array('/Repo/lib\\t' || (item_id % 4) || '.ts', './b.ts', '') AS files")
+    spans = evals.answer_files(_answers(spark, d), "/repo")
+    return evals.step_files(spans, traces, "/repo").withColumn("files", F.array_join("files", ","))
+
+
 @query("""SELECT item_id AS task, array_to_string(list_filter([CASE WHEN item_id % 4 = 3 THEN 'status' END, CASE WHEN item_id % 5 <> 0 AND item_id % 7 = 0 THEN 'file' END, CASE WHEN item_id % 5 <> 0 AND (item_id % 3 = 0 OR item_id % 2 + 1 < item_id % 3) THEN 'lines' END,
   CASE WHEN item_id % 4 = 0 AND item_id % 5 = 0 THEN 'false ready' END], lambda x: x IS NOT NULL), ',') AS problems FROM benchmark""")
 def answer_problems(spark: SparkSession, d: str) -> DataFrame:

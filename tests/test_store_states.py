@@ -60,3 +60,19 @@ def test_healing(spark, tmp_path):
     (store / "current.json").write_text("{}")
     (store / ".current.json.crc").unlink(missing_ok=True)
     assert project.heal() == "refused"
+
+
+def test_relative_paths_and_blocks_of_tokens(spark):
+    from pyspark.sql import functions as F
+
+    from quillon.operators import evals
+
+    paths = ["/Repo/src\\a.ts", "./b.ts", "././c.ts", "//d.ts", None, "/repository/e.ts"]
+    got = spark.createDataFrame([(p,) for p in paths], "p string").select(evals.relative(F.col("p"), "/repo/").alias("x")).collect()
+    assert [r.x for r in got] == ["src/a.ts", "b.ts", "./c.ts", "d.ts", None, "repository/e.ts"]
+    files = spark.createDataFrame([("a/one.ts", "one two\nTWO one three"), ("b.ts", None)], "path string, text string")
+    tokens = spark.createDataFrame([(t,) for t in ("one", "two", "three", "zzz")], "token string")
+    held = [sorted(r.token for r in evals._holding(files, F.lower("text"), tokens, block).collect()) for block in (1, 2, 1000)]
+    assert held == [["one", "three", "two"]] * 3
+    q = spark.createDataFrame([(1, "one"), (1, "Two"), (1, ""), (2, "b.ts"), (3, None)], "query_id int, token string")
+    assert sorted(map(tuple, evals.lexical_baseline(files, q).collect())) == [(1, "a/one.ts", 12, 1), (2, "b.ts", 8, None)]
