@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,11 +66,16 @@ def impact(edges: DataFrame, targets: DataFrame, most: int = 20) -> DataFrame:
     return best.withColumn("place", place).where(F.col("place") <= most)
 
 
-def paths(edges: DataFrame, starts: DataFrame, hops: int = 3, direction: str = "out", most: int | None = None) -> DataFrame:
-    """Simple paths of up to ``hops`` edges from each start, as ``start, hops, path``; ``most`` a start, shortest and smallest first."""
+def _accepted(edges: DataFrame, accept: Callable[[Column, Column], Column] | None) -> DataFrame:
+    e = edges.select("src", "dst").distinct()
+    return e if accept is None else e.where(accept(F.col("src"), F.col("dst")))
+
+
+def paths(edges: DataFrame, starts: DataFrame, hops: int = 3, direction: str = "out", most: int | None = None, accept: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """Simple paths of up to ``hops`` edges from each start, as ``start, hops, path``; ``most`` a start, shortest and smallest first. ``accept(src, dst)`` says which edges count; null is no."""
     if not 1 <= hops <= 3:
         raise ValueError("one to three hops")
-    e = edges.select("src", "dst").distinct()
+    e = _accepted(edges, accept)
     if direction == "in":
         e = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     elif direction != "out":
@@ -85,13 +92,13 @@ def paths(edges: DataFrame, starts: DataFrame, hops: int = 3, direction: str = "
     return found.withColumn("n", F.row_number().over(Window.partitionBy("start").orderBy("hops", "path"))).where(F.col("n") <= most).drop("n")
 
 
-def capped_paths(edges: DataFrame, starts: DataFrame, hops: int = 3, direction: str = "out", nodes: int = 100, most: int = 200, inspections: int = 1000) -> DataFrame:
+def capped_paths(edges: DataFrame, starts: DataFrame, hops: int = 3, direction: str = "out", nodes: int = 100, most: int = 200, inspections: int = 1000, accept: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """:func:`paths` in breadth-first order, neighbours by name, within bounds for each start; ``truncated`` says whether a bound was met.
 
     ``inspections`` bounds the edges looked at, ``nodes`` the distinct nodes entered, the start among them, ``most`` the paths. A node over its
-    bound is not entered, and nothing behind it.
+    bound is not entered, and nothing behind it. Edges that ``accept(src, dst)`` doesn't take aren't looked at.
     """
-    e = edges.select("src", "dst").distinct()
+    e = _accepted(edges, accept)
     if direction == "in":
         e = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     level = starts.select(F.col("node").alias("start"), F.array("node").alias("path"))

@@ -76,3 +76,13 @@ def test_relative_paths_and_blocks_of_tokens(spark):
     assert held == [["one", "three", "two"]] * 3
     q = spark.createDataFrame([(1, "one"), (1, "Two"), (1, ""), (2, "b.ts"), (3, None)], "query_id int, token string")
     assert sorted(map(tuple, evals.lexical_baseline(files, q).collect())) == [(1, "a/one.ts", 12, 1), (2, "b.ts", 8, None)]
+
+
+def test_edges_that_are_not_accepted_are_not_walked(spark):
+    from quillon.operators import graph
+
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "x"), ("x", "c")], "src string, dst string")
+    start = spark.createDataFrame([("a",)], "node string")
+    for walk in (graph.paths, graph.capped_paths):
+        got = walk(edges, start, accept=lambda s, d: (s != "x") & (d != "x")).collect()
+        assert sorted(tuple(r.path) for r in got) == [("a", "b"), ("a", "b", "c")]
