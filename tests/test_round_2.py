@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillon.functions import scores
+from quillon.operators import detail
 
 
 def test_age_counts_whole_seconds(spark):
     rows = spark.sql("SELECT explode(array('2024-01-19 00:00:00', '2024-01-19 00:00:00.5', '2024-01-19 00:00:01', '2024-01-13 00:00:00.999999')) AS t")
     got = rows.select(scores.index_age(F.to_timestamp("t"), F.lit("2024-01-20").cast("timestamp")).alias("age")).collect()
     assert [r.age for r in got] == ["aging", "aging", "fresh", "stale"]
+
+
+def test_signature_keeps_digits_at_the_ends_of_lines(spark):
+    row = spark.sql("SELECT '  01 a 0 \\n1 b 1\\n2 c 2' AS t")
+    assert row.select(detail.signature(F.col("t")).alias("s")).first().s == "01 a 0 1 b 1 2 c 2"
