@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -70,3 +71,30 @@ def test_nearest_vectors_over_several_blocks(monkeypatch):
         best = sorted((x for x in rows if x["query_id"] == q), key=lambda x: (-x["score"], x["vec_id"]))[:7]
         got |= {(q, x["vec_id"], n, round(x["score"], 9)) for n, x in enumerate(best)}
     assert got == by_hand(asked, vectors, 7)
+
+
+def test_a_term_of_every_chunk_meets_only_chunks_with_the_rarer_one(spark):
+    chunks = spark.range(2000).selectExpr("id", "'common word' || id AS content", "'n' AS name", "'a/f' || id || '.ts' AS path", "'k' AS kind", "'l' AS layer", "array('t') AS tags")
+    queries = spark.range(400).selectExpr("id AS query_id", "'common word' || id || CASE WHEN id = 7 THEN ' absent' ELSE '' END AS query")
+    found = search.keyword_weighted(queries, chunks)
+    got = found.collect()
+    assert sorted((r.query_id, r.id) for r in got) == [(i, i) for i in range(400) if i != 7] and {round(r.score, 9) for r in got} == {round(0.4 / 1.35, 9)}
+    assert int(max(re.findall(r"number of output rows: ([0-9,]+)", plan_with_rows(found)), key=lambda n: int(n.replace(",", ""))).replace(",", "")) < 40_000
+
+
+def plan_with_rows(df):
+    """The executed plan's row counts, as lines."""
+    out, left = [], [df._jdf.queryExecution().executedPlan()]
+    while left:
+        node = left.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            left.append(node.executedPlan())
+            continue
+        if hasattr(node, "plan") and node.nodeName().endswith("QueryStage"):
+            left.append(node.plan())
+            continue
+        m = node.metrics().get("numOutputRows")
+        if m.isDefined():
+            out.append(f"number of output rows: {m.get().value()}")
+        left += [node.children().apply(i) for i in range(node.children().size())]
+    return "\n".join(out)
