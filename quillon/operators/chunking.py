@@ -6,10 +6,15 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# Fixed value: files that a fold holds as Python objects at once.
+FILES = 256
+
+
 def lines_of(text: Column) -> Column:
     """The lines of a text; trailing empty ones count."""
     return F.split(text, "\n", -1)
@@ -56,18 +61,25 @@ def segments(symbols: DataFrame, files: DataFrame, key: str = "file") -> DataFra
 
 def _folded(chunks: DataFrame, key: str, joins, merged) -> DataFrame:
     """A fold over each file's chunks in order of lines: ``merged(last, row)`` takes the place of both wherever ``joins(last, row)``."""
-    schema = chunks.schema
+    cells = [F.col(c) for c in chunks.columns]
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+    def folded(rows: list[dict]) -> list[dict]:
         out: list[dict] = []
-        for row in rows.sort_values(["start_line", "end_line"]).astype(object).where(rows.notna(), None).to_dict("records"):
+        for row in sorted(rows, key=lambda r: (r["start_line"], r["end_line"])):
             if out and joins(out[-1], row):
                 out[-1] = merged(out[-1], row)
             else:
                 out.append(row)
-        return pd.DataFrame(out, columns=schema.names)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            files = batch.column("rows")
+            schema = pa.schema(list(files.type.value_type))
+            for low in range(0, len(files), FILES):  # files whose rows are Python objects at once
+                yield pa.RecordBatch.from_pylist([row for file in files.slice(low, FILES).to_pylist() for row in folded(file)], schema=schema)
 
-    return chunks.groupBy(key).applyInPandas(fold, schema)
+    return chunks.groupBy(F.col(key).alias("file")).agg(F.collect_list(F.struct(*cells)).alias("rows")).select("rows").mapInArrow(run, chunks.schema)
 
 
 def merge_small(chunks: DataFrame, least: int = 15, key: str = "doc_id", same: tuple[str, ...] | None = None, united: tuple[str, ...] = (), owners: tuple[str, ...] = ()) -> DataFrame:

@@ -10,7 +10,10 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quillon.functions import scores
-from quillon.operators import detail, neighbours, search
+from quillon.operators import chunking, detail, neighbours, search
+from quillon.plans import catalog
+
+catalog.load()
 
 
 def test_age_counts_whole_seconds(spark):
@@ -98,3 +101,16 @@ def plan_with_rows(df):
             out.append(f"number of output rows: {m.get().value()}")
         left += [node.children().apply(i) for i in range(node.children().size())]
     return "\n".join(out)
+
+
+def test_folds_start_no_frame_a_file_and_take_any_order(spark):
+    rows = spark.createDataFrame([(i, n * 4 + 1, n * 4 + 4, "a\nb\nc\nd") for i in range(3000) for n in (2, 0, 1)] + [(None, 1, 1, "x")], "doc_id long, start_line int, end_line int, content string")
+    found = chunking.merge_small(rows, 8)
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r.doc_id, r.start_line, r.end_line, r.content.count("\n") + 1) for r in found.collect()}
+    assert got == {(i, a, b, n) for i in range(3000) for a, b, n in ((1, 8, 8), (9, 12, 4))} | {(None, 1, 1, 1)}
+
+
+def test_compact_results_keep_few_rows_before_the_shuffle(spark, small):
+    plan = catalog.QUERIES["compact_results"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
