@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillon.operators import analyzers, frameworks
 from quillon.plans.catalog import query
 from quillon.plans.code_plans import W, code
-from quillon.sources.tables import FILES_SQL, files, table
+from quillon.sources.tables import FILES_SQL, files, spread, table
 
 REACT_TEXT = """'import { useState, use as load } from ''react'';' || chr(10) || '/* useRef( */' || chr(10) || '// useMemo(() => 1)' || chr(10) ||
   'export function Card' || p_partkey || '() {' || chr(10) || '  const [a] = useState<string>(0);' || chr(10) || CASE WHEN p_size % 2 = 0 THEN '  return <Suspense><div /></Suspense>;' ELSE '  return a < 1;' END || chr(10) || '}' || chr(10) ||
@@ -17,7 +17,7 @@ REACT_TEXT = """'import { useState, use as load } from ''react'';' || chr(10) ||
 
 
 def _react(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").selectExpr("p_partkey AS path", f"{REACT_TEXT} AS text")
+    return spread(table(spark, d, "part"), "p_partkey").selectExpr("p_partkey AS path", f"{REACT_TEXT} AS text")
 
 
 @query("""SELECT p_partkey AS path, 'use' || p_partkey AS name, 'custom-hook' AS kind FROM part UNION ALL SELECT p_partkey, 'Card' || p_partkey, 'function-component' FROM part WHERE p_size % 2 = 0
@@ -50,7 +50,7 @@ def _spark(pick: str) -> str:
     'app-' || path AS selector, 'ngOnInit' AS hooks, 'Http' || p_size || ',Token' AS services, 'Http' || p_size || ',KEY' AS tokens, 'size' AS inputs, 'A' || p_size || ',B' AS imports FROM c""")
 def decorated_classes(spark: SparkSession, d: str) -> DataFrame:
     text = CLASS_TEXT.format(kind=_spark(KINDS), ending=_spark(ENDINGS))
-    rows = frameworks.decorated_classes(table(spark, d, "part").selectExpr("p_partkey AS path", f"{text} AS text"))
+    rows = frameworks.decorated_classes(spread(table(spark, d, "part"), "p_partkey").selectExpr("p_partkey AS path", f"{text} AS text"))
     return rows.select("path", "name", F.array_join("decorators", ",").alias("decorator"), "kind", "nest_kind", "nest_layer", "selector", *[F.array_join(c, ",").alias(c) for c in ("hooks", "services", "tokens", "inputs")], F.array_join("module_imports", ",").alias("imports"))
 
 

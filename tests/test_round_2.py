@@ -114,3 +114,8 @@ def test_folds_start_no_frame_a_file_and_take_any_order(spark):
 def test_compact_results_keep_few_rows_before_the_shuffle(spark, small):
     plan = catalog.QUERIES["compact_results"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_texts_made_of_one_small_file_are_spread(spark, small):
+    for name in ("react_facts", "react_components", "framework_facts", "decorated_classes", "keyword_weighted"):
+        assert "REPARTITION_BY_NUM" in catalog.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString(), name
