@@ -3,9 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+from quillon.operators import strong
+
+# Fixed value: edges that one task walks, in some hundred bytes each.
+LOCAL = 2_000_000
 
 
 def merged_edges(proofs: DataFrame) -> DataFrame:
@@ -120,44 +127,37 @@ def capped_paths(edges: DataFrame, starts: DataFrame, hops: int = 3, direction:
     return rows.where(F.col("simple") & F.col("enters") & (F.col("i") <= inspections) & (F.col("p") <= most)).select("start", "hops", "path", "truncated")
 
 
-def cycle_groups(edges: DataFrame, keep) -> DataFrame:
+def _least(edges: DataFrame, keep) -> DataFrame:
+    """``node, least``: the smallest node from which each node is reached, itself included; one round for each step that it is away."""
+    label = keep(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("least", F.col("node")), "least")
+    while True:
+        came = edges.join(label, F.col("src") == F.col("node")).groupBy("dst").agg(F.min("least").alias("via"))
+        new = keep(label.join(came, F.col("node") == F.col("dst"), "left").select("node", F.least("least", "via").alias("least"), (F.col("via") < F.col("least")).alias("moved")), "least")
+        label = new.select("node", "least")
+        if new.where("moved").isEmpty():
+            return label
+
+
+def cycle_groups(edges: DataFrame, keep, local: int = LOCAL) -> DataFrame:
     """``node, group`` of every node that lies on a cycle of any length; the group is the smallest node that it can reach and be reached from.
 
-    Strongly connected components by colouring: nodes without a way in or out go first; then each node takes the smallest node that reaches it as
-    colour, and those of a colour that reach that node back are its component. ``keep(df, name)`` writes a round's table to shared storage and reads it back.
+    Strongly connected components. Up to ``local`` edges are walked in one task, whose rounds would cost a job each (:mod:`quillon.operators.strong`). More are first
+    parted: each node takes the smallest node that reaches it and the smallest that it reaches. Where both are one node, that is its group; an edge whose ends
+    differ in either lies on no cycle and goes. ``keep(df, name)`` writes a round's table to shared storage and reads it back.
     """
     left = keep(edges.where("src <> dst").select("src", "dst").distinct(), "edges")
-    found = left.select(F.col("src").alias("node"), F.col("src").alias("group")).limit(0)
-    n = left.count()
-    while n:
-        inner = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-        inner = keep(inner, "inner")
-        if (m := inner.count()) < n:
-            left, n = inner, m
-            continue
-        colour = keep(left.select(F.col("src").alias("node")).distinct().withColumn("colour", F.col("node")), "colour")
-        while True:
-            came = left.join(colour, F.col("src") == F.col("node")).groupBy("dst").agg(F.min("colour").alias("via"))
-            new = keep(colour.join(came, F.col("node") == F.col("dst"), "left").select("node", F.least("colour", F.coalesce("via", "colour")).alias("colour"), (F.col("via") < F.col("colour")).alias("moved")), "colour")
-            colour = new.select("node", "colour")
-            if new.where("moved").isEmpty():
-                break
-        shade = colour.select(F.col("node").alias("of"), F.col("colour").alias("shade"))
-        inside = left.join(colour, F.col("src") == F.col("node")).join(shade, (F.col("dst") == F.col("of")) & (F.col("colour") == F.col("shade"))).select("src", "dst", "colour")
-        inside = keep(inside, "inside")
-        group = keep(colour.where("node = colour"), "group")
-        size = group.count()
-        while True:
-            back = inside.join(group.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node"), "colour")
-            group = keep(group.union(back).distinct(), "group")
-            if (now := group.count()) == size:
-                break
-            size = now
-        found = found.union(group.select("node", F.col("colour").alias("group")))
-        left = keep(left.join(group.select(F.col("node").alias("src")), "src", "left_anti").join(group.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"), "edges")
-        n = left.count()
-    many = found.groupBy("group").agg(F.count("*").alias("nodes")).where("nodes > 1")
-    return found.join(many.select("group"), "group", "left_semi").select("node", "group")
+    kind = left.schema["src"].dataType
+    found = []
+    while left.count() > local:
+        up, down = _least(left, keep), _least(left.select(F.col("dst").alias("src"), F.col("src").alias("dst")), keep)
+        both = keep(up.select("node", F.col("least").alias("up")).join(down.select("node", F.col("least").alias("down")), "node"), "both")
+        tied = both.where("up = down AND node <> up").select("node", F.col("up").alias("group"))
+        found += [tied, tied.select(F.col("group").alias("node"), "group").distinct()]
+        open_ = both.where("up <> down")
+        ends = left.join(open_.select(F.col("node").alias("src"), "up", "down"), "src").join(open_.select(F.col("node").alias("dst"), F.col("up").alias("up_"), F.col("down").alias("down_")), "dst")
+        left = keep(ends.where("up = up_ AND down = down_").select("src", "dst"), "edges")
+    rest = left.coalesce(1).mapInArrow(strong.groups, StructType([StructField("node", kind), StructField("group", kind)]))
+    return reduce(DataFrame.union, found, rest)
 
 
 def stats_or_files(edges: DataFrame, files: DataFrame) -> DataFrame:
