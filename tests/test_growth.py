@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
 import random
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from quillon.operators import graph
+from quillon.functions import text
+from quillon.operators import graph, search
 from quillon.sources.shared import keeper
 
 
@@ -55,3 +59,28 @@ def test_a_long_chain_and_a_long_ring_take_few_jobs(spark):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert [tuple(r) for r in got] == [(10000, 4000)]
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("ring")) < 15
+
+def test_inflections_are_the_words_with_that_alias(spark):
+    stems = ["plan", "plann", "stop", "stopp", "make", "mak", "agree", "agre", "need", "bed", "ring", "added", "adde", "pass", "passe", "buzz", "b", "ee", "seed", "x1", "22", "222e", "fooo", "heed"]
+    words = spark.createDataFrame([(s + e,) for s in stems for e in ("", "e", "d", "ed", "ing", "inged", "eding")], "w string").distinct()
+    known = words.select("w", F.explode(text.aliases(F.col("w"))).alias("alias"))
+    names = known.select("alias").union(words.select("w")).distinct()
+    made = names.select(F.explode(text.inflections(F.col("alias"))).alias("w"), "alias")
+    assert known.select("w", "alias").exceptAll(made).isEmpty()
+    assert made.where(~F.array_contains(text.aliases(F.col("w")), F.col("alias"))).isEmpty()
+
+
+def test_rows_of_one_key_are_one_text(spark):
+    """As in its SQL, which counts by document: two rows gave two results with a part of the words each."""
+    queries = spark.createDataFrame([(1, "planned sessions"), (2, "sessions expired")], "query_id long, query string")
+    rows = spark.createDataFrame([(5, "plan session"), (5, "planning a session, planning more"), (6, "expiring"), (6, "session"), (7, "session"), (8, None), (None, "plan session")], "doc_id long, text string")
+    got = {(r.query_id, r.doc_id, r.clues, round(r.density, 6)) for r in search.rescued(queries, rows, "doc_id", "text").collect()}
+    assert got == {(1, 5, 2, round((math.sqrt(2) + math.sqrt(2)) / math.sqrt(7), 6)), (2, 6, 2, round(2 / math.sqrt(2), 6))}
+
+
+def test_a_word_of_every_row_is_dealt_to_many_tasks(spark):
+    queries = spark.createDataFrame([(i, "session token") for i in range(3)], "query_id long, query string")
+    hits = search.clue_hits(queries, spark.range(5000).selectExpr("id AS doc_id", "'session token session' AS text"), ["doc_id"], "text")
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"Join \[w#\d+, share#", plan)
+    assert {tuple(r) for r in hits.groupBy("query_id", "n", "tf").count().collect()} == {(i, n, 2 - n, 5000) for i in range(3) for n in (0, 1)}
